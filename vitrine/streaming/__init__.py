@@ -1,0 +1,5 @@
+"""Streaming: intentionally empty.
+
+The reference processes one static table in batch; it has no streams,
+watermarks, windows over event time or state.  Nothing is added here.
+"""
