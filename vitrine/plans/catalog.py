@@ -44,8 +44,11 @@ def register(name: str, sql: str | None = None):
 
 
 def r4(c) -> F.Column:
+    """Round to 4 decimals as ``round(x * 1e4) / 1e4`` on the binary value
+    (the SQL engines' arithmetic), not on the decimal text, so equal doubles
+    round equally on both sides of the oracle check."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.round(c, 4)
+    return F.round(c * F.lit(10000.0)) / F.lit(10000.0)
 
 
 def _round_doubles(df: DataFrame) -> DataFrame:
