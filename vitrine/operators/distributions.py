@@ -6,10 +6,10 @@ aggregation of bin indexes.  Edges are literals, so every row is binned by
 a couple of arithmetic ops and array lookups inside codegen; the zero bins
 come from a ``range`` of at most ``bins`` rows.
 
-Box summaries use Spark's exact ``percentile`` (linear interpolation, the
-same as ``describe``); its buffer holds one entry per distinct value of a
-group, not per row.  ``exact=False`` switches to ``percentile_approx`` for
-continuous values in very large groups.
+Box summaries use exact quartiles with linear interpolation (the same as
+``describe``), computed by the bounded-state selection of
+``vitrine.operators.quantiles``; ``exact=False`` switches to the
+``percentile_approx`` sketch.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from vitrine.functions.parse import to_number_typed
 from vitrine.operators.aggregates import top_categories
 from vitrine.operators.predicates import drop_null_key
+from vitrine.operators.quantiles import exact_quantiles
 
 HIST_SCHEMA = "bin INT, bin_left DOUBLE, bin_right DOUBLE, bin_center DOUBLE, count BIGINT"
 
@@ -114,11 +115,16 @@ def box_summary(df: DataFrame, value: str, by: list[str] | str | None = None,
     gkeys = keys or ["_all"]
     if not keys:
         data = data.withColumn("_all", F.lit(0))
-    q = data.groupBy(*gkeys).agg(
-        F.count(F.lit(1)).alias("n"), F.min("v").alias("min"), F.max("v").alias("max"),
-        _quartiles(F.col("v"), exact, accuracy).alias("_q"))
-    q = q.select(*gkeys, "n", "min", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                 F.col("_q")[2].alias("q3"), "max")
+    if exact:
+        q = exact_quantiles(data, "v", [0.25, 0.5, 0.75], by=gkeys)
+        q = q.select(*gkeys, "n", "min", F.col("q0").alias("q1"), F.col("q1").alias("median"),
+                     F.col("q2").alias("q3"), "max")
+    else:
+        q = data.groupBy(*gkeys).agg(
+            F.count(F.lit(1)).alias("n"), F.min("v").alias("min"), F.max("v").alias("max"),
+            _quartiles(F.col("v"), exact, accuracy).alias("_q"))
+        q = q.select(*gkeys, "n", "min", F.col("_q")[0].alias("q1"),
+                     F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"), "max")
     # One row per group: AQE broadcasts it when small, else a shuffle join.
     fenced = data.join(q.select(*gkeys, "q1", "q3"), on=gkeys, how="inner")
     iqr = F.col("q3") - F.col("q1")

@@ -14,7 +14,7 @@ from vitrine.functions.parse import error_bounds, owner_range, range_label, rele
 from vitrine.functions.parse import to_number_typed, year_label
 from vitrine.operators import distributions
 from vitrine.operators.predicates import comparator_condition, in_categories, selection_list
-from vitrine.operators.sampling import stratified_sample, uniform_sample
+from vitrine.operators.sampling import stratified_sample, stratum_sizes, uniform_sample
 
 MAX_POINTS = 20_000  # cap on points per scatter (fixed value)
 PLAYTIME_COLUMNS = (  # columns whose per-category histogram is a distribution summary
@@ -37,10 +37,19 @@ def _with_year_label(df: DataFrame) -> DataFrame:
 
 def _cap(df: DataFrame, max_points: int, category: str, keys: list[str], seed: int,
          stratify: bool = True) -> DataFrame:
+    """Sample only when there are more than ``max_points`` rows.
+
+    With strata, the per-stratum sizes (one pass, NULL stratum included)
+    give the row count and are reused for the quotas.
+    """
+    if stratify and category in df.columns:
+        sizes = stratum_sizes(df, category)
+        total = sizes.agg(F.sum("_size")).first()[0] or 0
+        if total <= max_points:
+            return df
+        return stratified_sample(df, category, max_points, keys, seed, sizes=sizes)
     if df.count() <= max_points:
         return df
-    if stratify and category in df.columns:
-        return stratified_sample(df, category, max_points, keys, seed)
     return uniform_sample(df, max_points, keys, seed)
 
 

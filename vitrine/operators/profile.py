@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vitrine.operators.quantiles import exact_quantiles
+
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
             T.DecimalType)
 
@@ -39,24 +41,34 @@ def describe(df: DataFrame, columns: list[str] | None = None, exact: bool = True
              accuracy: int = 10000) -> DataFrame:
     """Count, mean, sample std, min, quartiles (linear), max per numeric column.
 
-    Missing values (and NaN) are skipped.  Quartiles are exact (``percentile``)
-    unless ``exact=False``.  Output: one row per column.
+    Missing values (and NaN) are skipped.  Moments come from one aggregation
+    over all columns; exact quartiles from one bounded-state selection over
+    the columns unpivoted to (column_name, value), grouped by column
+    (``exact=False``: ``percentile_approx``).  Output: one row per column.
     """
     cols = columns or numeric_columns(df)
-    probs = [0.25, 0.5, 0.75]
-    structs = []
-    for c in cols:
+
+    def val(c):
         v = F.col(f"`{c}`").cast("double")
-        v = F.when(~F.isnan(v), v)
-        q = (F.percentile(v, F.array(*[F.lit(p) for p in probs])) if exact
-             else F.percentile_approx(v, probs, accuracy).cast("array<double>"))
-        structs.append(F.struct(
-            F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-            F.min(v).alias("min"), q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"),
-            F.max(v).alias("max")).alias(c))
-    wide = df.agg(*structs)
-    long = wide.unpivot([], cols, "column_name", "s")
-    return long.select("column_name", "s.*")
+        return F.when(~F.isnan(v), v)
+
+    moments = df.agg(*[F.struct(F.count(val(c)).alias("count"), F.avg(val(c)).alias("mean"),
+                                F.stddev_samp(val(c)).alias("std"), F.min(val(c)).alias("min"),
+                                F.max(val(c)).alias("max")).alias(c) for c in cols])
+    moments = moments.unpivot([], cols, "column_name", "s").select("column_name", "s.*")
+    long = df.select(*[val(c).alias(c) for c in cols]).unpivot([], cols, "column_name", "v")
+    probs = [0.25, 0.5, 0.75]
+    if exact:
+        q = exact_quantiles(long, "v", probs, by=["column_name"])
+        q = q.select("column_name", F.col("q0").alias("q25"), F.col("q1").alias("q50"),
+                     F.col("q2").alias("q75"))
+    else:
+        a = F.percentile_approx("v", probs, accuracy).cast("array<double>")
+        q = (long.groupBy("column_name").agg(a.alias("_q"))
+             .select("column_name", F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("q50"),
+                     F.col("_q")[2].alias("q75")))
+    out = moments.join(q, on="column_name", how="left")
+    return out.select("column_name", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def column_info(df: DataFrame) -> DataFrame:

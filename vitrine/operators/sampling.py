@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vitrine.session import reliable_checkpoint
+
 _HEX_DIGITS = 13  # 52 bits of the md5 give the uniform pre-filter value
 
 
@@ -45,16 +47,25 @@ def uniform_sample(df: DataFrame, n: int, keys: list[str], seed: int = 1) -> Dat
     return df.withColumn("_rk", rank_key(keys, seed)).orderBy("_rk").limit(int(n)).select(*cols)
 
 
-def stratum_quotas(df: DataFrame, by: str, n: int) -> DataFrame | None:
+def stratum_sizes(df: DataFrame, by: str) -> DataFrame:
+    """Rows per stratum including the NULL stratum (``by``, ``_size``),
+    written to the checkpoint folder: one row per stratum."""
+    return reliable_checkpoint(df.groupBy(by).agg(F.count(F.lit(1)).alias("_size")))
+
+
+def stratum_quotas(df: DataFrame, by: str, n: int,
+                   sizes: DataFrame | None = None) -> DataFrame | None:
     """Per-stratum quotas (``by``, ``_size``, ``_quota``) for a sample of n rows.
 
     quota = floor(size / total * n), plus one for the ``n - sum(floor)``
     strata with the largest fractional parts (ties: stratum ascending),
     capped at the stratum size; strata with quota 0 are dropped.  NULL is not
-    a stratum.  Returns None when there is no non-NULL stratum.
+    a stratum.  Returns None when there is no non-NULL stratum.  ``sizes``
+    may be passed in (see ``stratum_sizes``) to save a pass.
     """
-    sizes = (df.where(F.col(by).isNotNull()).groupBy(by)
-             .agg(F.count(F.lit(1)).alias("_size"))).checkpoint(eager=True)
+    if sizes is None:
+        sizes = stratum_sizes(df, by)
+    sizes = sizes.where(F.col(by).isNotNull())
     total = sizes.agg(F.sum("_size")).first()[0] or 0
     if total == 0:
         return None
@@ -75,7 +86,8 @@ def stratum_quotas(df: DataFrame, by: str, n: int) -> DataFrame | None:
 
 
 def stratified_sample(df: DataFrame, by: str, n: int, keys: list[str], seed: int = 1,
-                      oversample: float = 1.2, slack: int = 64) -> DataFrame:
+                      oversample: float = 1.2, slack: int = 64,
+                      sizes: DataFrame | None = None) -> DataFrame:
     """Proportional stratified sample of n rows with exact quotas.
 
     n <= 0 -> input unchanged; ``by`` missing or no non-NULL stratum -> X1.
@@ -84,7 +96,7 @@ def stratified_sample(df: DataFrame, by: str, n: int, keys: list[str], seed: int
         return df
     if by not in df.columns:
         return uniform_sample(df, n, keys, seed)
-    quotas = stratum_quotas(df, by, n)
+    quotas = stratum_quotas(df, by, n, sizes)
     if quotas is None:
         return uniform_sample(df, n, keys, seed)
     cols = df.columns
@@ -93,7 +105,7 @@ def stratified_sample(df: DataFrame, by: str, n: int, keys: list[str], seed: int
     ranked = (df.join(quotas, on=by, how="inner")
               .withColumn("_rk", rk).withColumn("_u", _unit(F.col("_rk"))))
     frac = F.least(F.lit(1.0), (F.col("_quota") * oversample + slack) / F.col("_size"))
-    cand = ranked.where(F.col("_u") < frac).checkpoint(eager=True)
+    cand = reliable_checkpoint(ranked.where(F.col("_u") < frac))
     factor = 1.0
     while True:
         short = (cand.groupBy(by).agg(F.count(F.lit(1)).alias("_got"))
@@ -106,7 +118,7 @@ def stratified_sample(df: DataFrame, by: str, n: int, keys: list[str], seed: int
         short_keys = [r[0] for r in short]
         wider = F.least(F.lit(1.0), frac * factor)
         redo = ranked.where(F.col(by).isin(short_keys) & (F.col("_u") < wider))
-        cand = cand.where(~F.col(by).isin(short_keys)).unionByName(redo).checkpoint(eager=True)
+        cand = reliable_checkpoint(cand.where(~F.col(by).isin(short_keys)).unionByName(redo))
     w = Window.partitionBy(by).orderBy("_rk")
     return (cand.withColumn("_n", F.row_number().over(w))
             .where(F.col("_n") <= F.col("_quota")).select(*cols))

@@ -78,3 +78,13 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path below the shared checkpoint directory."""
     return f"{checkpoint_root(spark)}/vitrine/{name}-{uuid.uuid4().hex}"
+
+
+def reliable_checkpoint(df):
+    """``df.checkpoint(eager=True)`` into the shared checkpoint directory.
+
+    Cuts lineage with a written copy that survives executor loss (never a
+    local checkpoint).  Used only for small intermediate tables.
+    """
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
