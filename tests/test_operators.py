@@ -178,3 +178,22 @@ def test_profile(spark):
     assert set(d) == {"a", "c"} and d["c"]["count"] == 1 and d["a"].std == pytest.approx(0.7071, 1e-3)
     info = [tuple(r) for r in PR.column_info(df).orderBy("position").collect()]
     assert info == [(0, "a", "int", 2), (1, "b", "string", 1), (2, "c", "double", 2)]
+
+
+@pytest.mark.parametrize("bins,final_rows", [(4, 5), (4096, 100_000)])
+def test_exact_quantiles_match_numpy(spark, bins, final_rows):
+    from vitrine.operators.quantiles import exact_quantiles
+    rng = np.random.default_rng(3)
+    a = np.concatenate([rng.normal(0, 1e4, 700), np.full(300, 7.5), [-1e-300, 0.0, 1e300]])
+    b = rng.integers(0, 5, 200).astype(float)
+    rows = [("a", float(v)) for v in a] + [("b", float(v)) for v in b] + [("c", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    probs = [0.25, 0.5, 0.75, 0.9]
+    out = {r.g: r for r in exact_quantiles(df, "v", probs, by=["g"], bins=bins,
+                                           final_rows=final_rows).collect()}
+    assert set(out) == {"a", "b"}
+    for g, vals in (("a", a), ("b", b)):
+        exp = np.percentile(vals, [p * 100 for p in probs])
+        got = [out[g][f"q{i}"] for i in range(len(probs))]
+        assert got == pytest.approx(exp.tolist(), rel=1e-12, abs=1e-9)
+        assert out[g].n == len(vals) and out[g]["min"] == vals.min()

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from vitrine.functions.parse import error_bounds, owner_range, owner_range_prefix, to_number_typed
 from vitrine.functions.parse import genre_list as genre_list_expr
 from vitrine.operators.predicates import drop_null_key, in_categories
-from vitrine.session import reliable_checkpoint
+from vitrine.session import materialize
 
 
 def _numeric(df: DataFrame, y: str):
@@ -139,12 +139,12 @@ def year_category_crosstab(df: DataFrame, year: str, category: str,
 
     Empty cells are 0; a listed category without rows gets no column.  One
     pass over the data: the pivot over the given list (no value discovery)
-    is written to the checkpoint folder (years x categories cells), then the
+    is cached (years x categories cells), then the
     categories that never occur are dropped from that small table.
     """
     cats = sorted(set(categories))
     data = drop_null_key(df.where(F.col(category).isin(cats)), year, category)
-    wide = reliable_checkpoint(data.groupBy(year).pivot(category, cats).count())
+    wide = materialize(data.groupBy(year).pivot(category, cats).count())
     seen = wide.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in cats]).first()
     present = [c for c in cats if seen is not None and seen[c] > 0]
     return (wide.select(year, *[F.col(f"`{c}`") for c in present])

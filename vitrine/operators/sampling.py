@@ -7,7 +7,7 @@ contract is exact per-stratum counts and repeatability.)
 
 Stratified plan:
 
-1. per-stratum sizes (partial aggregation), checkpointed: one row per stratum;
+1. per-stratum sizes (partial aggregation), cached: one row per stratum;
 2. quotas: floor of the proportional share, the remainder to the largest
    fractional parts (a top-r with r < n, ties by stratum), capped at size;
 3. a pre-filter keeps rows whose rank falls below
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitrine.session import reliable_checkpoint
+from vitrine.session import materialize
 
 _HEX_DIGITS = 13  # 52 bits of the md5 give the uniform pre-filter value
 
@@ -49,8 +49,8 @@ def uniform_sample(df: DataFrame, n: int, keys: list[str], seed: int = 1) -> Dat
 
 def stratum_sizes(df: DataFrame, by: str) -> DataFrame:
     """Rows per stratum including the NULL stratum (``by``, ``_size``),
-    written to the checkpoint folder: one row per stratum."""
-    return reliable_checkpoint(df.groupBy(by).agg(F.count(F.lit(1)).alias("_size")))
+    cached: one row per stratum."""
+    return materialize(df.groupBy(by).agg(F.count(F.lit(1)).alias("_size")))
 
 
 def stratum_quotas(df: DataFrame, by: str, n: int,
@@ -105,7 +105,7 @@ def stratified_sample(df: DataFrame, by: str, n: int, keys: list[str], seed: int
     ranked = (df.join(quotas, on=by, how="inner")
               .withColumn("_rk", rk).withColumn("_u", _unit(F.col("_rk"))))
     frac = F.least(F.lit(1.0), (F.col("_quota") * oversample + slack) / F.col("_size"))
-    cand = reliable_checkpoint(ranked.where(F.col("_u") < frac))
+    cand = materialize(ranked.where(F.col("_u") < frac))
     factor = 1.0
     while True:
         short = (cand.groupBy(by).agg(F.count(F.lit(1)).alias("_got"))
@@ -118,7 +118,7 @@ def stratified_sample(df: DataFrame, by: str, n: int, keys: list[str], seed: int
         short_keys = [r[0] for r in short]
         wider = F.least(F.lit(1.0), frac * factor)
         redo = ranked.where(F.col(by).isin(short_keys) & (F.col("_u") < wider))
-        cand = reliable_checkpoint(cand.where(~F.col(by).isin(short_keys)).unionByName(redo))
+        cand = materialize(cand.where(~F.col(by).isin(short_keys)).unionByName(redo))
     w = Window.partitionBy(by).orderBy("_rk")
     return (cand.withColumn("_n", F.row_number().over(w))
             .where(F.col("_n") <= F.col("_quota")).select(*cols))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.session import reliable_checkpoint
+from vitrine.session import materialize
 
 
 def pivot_wide(df: DataFrame, index: str, category: str, value: str,
@@ -50,8 +50,8 @@ def densify_years(long_df: DataFrame, year: str, category: str, value: str,
     Output columns: year, category, value, and ``category_order`` (the
     position of the category in the requested order, else alphabetical).
     """
-    # The aggregate is small (years x categories): write it once, reuse below.
-    long_df = reliable_checkpoint(long_df)
+    # The aggregate is small (years x categories): cache it, reuse below.
+    long_df = materialize(long_df)
     if year_min is None or year_max is None:
         b = long_df.agg(F.min(year).alias("lo"), F.max(year).alias("hi")).first()
         year_min = b["lo"] if year_min is None else year_min

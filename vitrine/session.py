@@ -80,11 +80,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/vitrine/{name}-{uuid.uuid4().hex}"
 
 
-def reliable_checkpoint(df):
-    """``df.checkpoint(eager=True)`` into the shared checkpoint directory.
+def materialize(df):
+    """Cache a small intermediate table that an operator reads several times.
 
-    Cuts lineage with a written copy that survives executor loss (never a
-    local checkpoint).  Used only for small intermediate tables.
+    Lineage is kept, so a block lost with an executor is recomputed.  Used
+    only for tables whose size is bounded by groups x bins / strata, never
+    for row-level data.
     """
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    cached = df.cache()
+    cached.count()
+    return cached
+
+
+def reliable_checkpoint(df, name: str = "step"):
+    """Write ``df`` as Parquet below the shared checkpoint folder and scan it.
+
+    Cuts lineage with a written table that survives executor loss (never a
+    local checkpoint) and computes the plan once.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
