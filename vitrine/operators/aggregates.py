@@ -9,6 +9,8 @@ Ties are broken by the category ascending, so results are deterministic.
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,33 +97,52 @@ def owner_means_by_category(df: DataFrame, category: str, owners: str, top_n: in
 
 # ---------------------------------------------------------------- A3, A4
 def counts_per_year(df: DataFrame, year: str, category: str, selected=None,
-                    year_min=None, year_max=None, default_k: int = 4) -> DataFrame:
-    """A3: rows per (year, category) for the selection (default: top-k categories)."""
+                    year_min=None, year_max=None, default_k: int = 4,
+                    date_col: str | None = None) -> DataFrame:
+    """A3: rows per (year, category) for the selection (default: top-k categories).
+
+    ``date_col``: the date/timestamp column ``year`` derives from; the year
+    window is then also stated on it, so Parquet can skip row groups.
+    """
     data = selected_or_top(df, category, selected, default_k)
-    data = _year_window(data, year, year_min, year_max)
+    data = _year_window(data, year, year_min, year_max, date_col)
     return (drop_null_key(data, year, category)
             .groupBy(year, category).agg(F.count(F.lit(1)).alias("count")))
 
 
 def sum_per_year(df: DataFrame, year: str, category: str, value: str, selected=None,
                  year_min=None, year_max=None, default_k: int = 4,
-                 out: str = "sum") -> DataFrame:
+                 out: str = "sum", date_col: str | None = None) -> DataFrame:
     """A4: sum of ``value`` per (year, category); a group with no value sums to 0."""
     data = selected_or_top(df, category, selected, default_k)
-    data = _year_window(data, year, year_min, year_max)
+    data = _year_window(data, year, year_min, year_max, date_col)
     return (drop_null_key(data, year, category)
             .groupBy(year, category)
             .agg(F.coalesce(F.sum(_numeric(data, value)), F.lit(0.0)).alias(out)))
 
 
-def _year_window(df: DataFrame, year: str, year_min, year_max) -> DataFrame:
+def _year_window(df: DataFrame, year: str, year_min, year_max,
+                 date_col: str | None = None) -> DataFrame:
+    """F3 on the year; with ``date_col`` also as a pushable date range."""
     if year_min is not None:
         df = df.where(F.col(year) >= int(year_min))
+        if date_col:
+            df = df.where(F.col(date_col) >= _year_start(df, date_col, int(year_min)))
     if year_max is not None:
         df = df.where(F.col(year) <= int(year_max))
+        if date_col:
+            df = df.where(F.col(date_col) < _year_start(df, date_col, int(year_max) + 1))
     return df
 
 
+def _year_start(df: DataFrame, date_col: str, y: int):
+    """Literal for January 1st of ``y`` in the type of ``date_col``."""
+    dtype = dict(df.dtypes)[date_col]
+    if dtype == "date":
+        return F.lit(datetime.date(y, 1, 1))
+    return F.lit(datetime.datetime(y, 1, 1)).cast(dtype)
+
+
 # -------------------------------------------------------------------- A7
 def mean_per_year(df: DataFrame, year: str, y: str, out: str | None = None) -> DataFrame:
     """Mean of Y per year, years without any value dropped, ordered by year."""

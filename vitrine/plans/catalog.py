@@ -163,7 +163,8 @@ GROUP BY 1, 2
 def orders_per_year_by_priority(spark, sf):
     """A3 + A11 default top 4 + F3: orders per year x priority."""
     return A.counts_per_year(_orders_y(spark, sf), "o_year", "o_orderpriority",
-                             selected=None, year_min=1996, year_max=2000, default_k=4)
+                             selected=None, year_min=1996, year_max=2000, default_k=4,
+                             date_col="o_orderdate")
 
 
 @register("totalprice_per_year_by_priority", """
@@ -212,7 +213,7 @@ def orders_yearly_series(spark, sf):
     o = _orders_y(spark, sf)
     top = [r[0] for r in A.top_categories(o, "o_orderpriority", 6).collect()]
     counts = A.counts_per_year(o, "o_year", "o_orderpriority", selected=top,
-                               year_min=1994, year_max=2003)
+                               year_min=1994, year_max=2003, date_col="o_orderdate")
     return R.yearly_series(counts, "o_year", "o_orderpriority", "count", 1994, 2003,
                            requested=top, variant="count")
 
@@ -242,7 +243,8 @@ def totalprice_yearly_series(spark, sf):
     """R1-R4 + A4 (sum variant): dense yearly totals for a selection 1994-2003."""
     req = ["5-LOW", "1-URGENT", "9-NONE"]
     sums = A.sum_per_year(_orders_y(spark, sf), "o_year", "o_orderpriority", "o_totalprice",
-                          selected=req, year_min=1994, year_max=2003, out="peak_sum")
+                          selected=req, year_min=1994, year_max=2003, out="peak_sum",
+                          date_col="o_orderdate")
     s = R.yearly_series(sums, "o_year", "o_orderpriority", "peak_sum", 1994, 2003,
                         requested=req, variant="sum")
     return _round_doubles(s)
