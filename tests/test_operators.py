@@ -96,8 +96,12 @@ def test_stratified_shortfall_redraw(spark):
 
 def test_uniform_sample(spark):
     df = spark.range(100)
-    assert X.uniform_sample(df, 10, ["id"]).count() == 10
+    s = X.uniform_sample(df, 10, ["id"])
+    assert s.count() == 10
     assert X.uniform_sample(df, 1000, ["id"]).count() == 100
+    # a pre-filter that comes up short is widened; the draw does not change
+    narrow = X.uniform_sample(df.repartition(3), 10, ["id"], oversample=0.0, slack=0)
+    assert sorted(r.id for r in narrow.collect()) == sorted(r.id for r in s.collect())
 
 
 def test_keep_first(spark):

@@ -48,9 +48,10 @@ def _cap(df: DataFrame, max_points: int, category: str, keys: list[str], seed: i
         if total <= max_points:
             return df
         return stratified_sample(df, category, max_points, keys, seed, sizes=sizes)
-    if df.count() <= max_points:
+    total = df.count()
+    if total <= max_points:
         return df
-    return uniform_sample(df, max_points, keys, seed)
+    return uniform_sample(df, max_points, keys, seed, total=total)
 
 
 def scatter_points(df: DataFrame, x: str, y: str, keys: list[str], hide_zero: bool = False,

@@ -1,7 +1,9 @@
 """CSV scan and sink (S1-S3) with pandas-compatible text conventions.
 
 * Quoted cells may hold newlines and doubled quotes: ``multiLine`` and
-  ``escape='"'`` (a multi-line file is one split; many files read in parallel).
+  ``escape='"'``.  A multi-line CSV file cannot be split, so large inputs
+  must come as many files (one task each); ``multiline=False`` makes files
+  without embedded line breaks splittable.
 * Every column is read as text and pandas' missing-value tokens become NULL;
   typing happens in the ingest (S5), never through a schema-inference pass.
 """
@@ -19,13 +21,15 @@ _READ_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote":
 _WRITE_OPTIONS = {"header": "true", "escape": '"', "quote": '"'}
 
 
-def _header(spark: SparkSession, path: str) -> list[str]:
+def _header(spark: SparkSession, path: str, multiline: bool = True) -> list[str]:
     """Column names from the header line (reads one record)."""
-    return spark.read.options(**_READ_OPTIONS).csv(path).columns
+    return (spark.read.options(**_READ_OPTIONS).option("multiLine", str(multiline).lower())
+            .csv(path).columns)
 
 
 def read_csv(spark: SparkSession, path: str, names: list[str] | None = None,
-             na_tokens: bool = True, position: bool = False) -> DataFrame:
+             na_tokens: bool = True, position: bool = False,
+             multiline: bool = True) -> DataFrame:
     """Read CSV with a header row; all columns as STRING.
 
     ``names`` imposes column names by position (the header line is skipped,
@@ -35,10 +39,10 @@ def read_csv(spark: SparkSession, path: str, names: list[str] | None = None,
     (increasing within a file) are added straight after the scan; a
     multi-line CSV file is one split, so ``_pos`` follows the file order.
     """
-    cols = list(names) if names else _header(spark, path)
+    cols = list(names) if names else _header(spark, path, multiline)
     schema = T.StructType([T.StructField(c, T.StringType(), True) for c in cols])
     df = (spark.read.options(**_READ_OPTIONS).option("enforceSchema", "true")
-          .schema(schema).csv(path))
+          .option("multiLine", str(multiline).lower()).schema(schema).csv(path))
     extra = []
     if position:
         extra = [F.col("_metadata.file_path").alias("_file"),
