@@ -719,10 +719,19 @@ SNAPSHOT_B_COLUMNS = ["AppID", "name", "release_date", "price", "genres", "estim
 
 
 def write_snapshots(spark, sf) -> tuple[str, str]:
-    """Two overlapping CSV snapshots of the catalogue (fixture input for M1)."""
-    a = titles_raw(spark, sf).where(F.col("appid") % 3 != 0).withColumn(
+    """Two overlapping CSV snapshots of the catalogue (fixture input for M1).
+
+    A holds appid % 3 != 0 and a ``discount``; B holds appid % 3 != 1, names
+    the key ``AppID``, has no discount and prices one higher.  Together they
+    cover every title; appid % 3 == 2 is in both.
+    """
+    raw = titles_raw_table(spark, sf)
+    a = raw.where(F.col("appid") % 3 != 0).withColumn(
         "discount", (F.col("appid") % 7).cast("string"))
-    b = (titles_raw(spark, sf, price_offset=1.0).where(F.col("appid") % 3 != 1)
+    numeric = ~F.col("price").isin("NaN", "1d")
+    b = (raw.where(F.col("appid") % 3 != 1)
+         .withColumn("price", F.when(numeric, (F.col("price").cast("double") + F.lit(1.0))
+                                     .cast("string")).otherwise(F.col("price")))
          .withColumnRenamed("appid", "AppID"))
     pa = CSV.write_csv(a.select(*SNAPSHOT_A_COLUMNS).coalesce(1), scratch_path(spark, "snap-a"))
     pb = CSV.write_csv(b.select(*SNAPSHOT_B_COLUMNS).coalesce(1), scratch_path(spark, "snap-b"))
@@ -763,7 +772,7 @@ def merged_snapshot_csv(spark, sf):
     merged = M.merge_snapshots(a, b, "appid", SNAPSHOT_A_COLUMNS,
                                rename_older={"AppID": "appid"}, constants_older={"discount": "0"})
     out = CSV.write_csv(merged, scratch_path(spark, "merged-csv"))
-    back = CSV.read_csv(spark, out)
+    back = CSV.read_csv(spark, out, names=SNAPSHOT_A_COLUMNS)
     return back.select(F.col("appid").cast("bigint").alias("appid"), "name", "price", "discount",
                        "genres", "estimated_owners", "release_date")
 
@@ -779,7 +788,11 @@ SELECT c_custkey, c_name, round(c_acctbal, 4) AS c_acctbal, c_mktsegment, pr AS
 FROM k WHERE rn = 1
 """)
 def customer_keep_first(spark, sf):
-    """U1 + U2: two overlapping customer slices, first slice wins per key."""
+    """U1 + U2: two overlapping customer slices, first slice wins per key.
+
+    The slices (custkey % 3 != 0, and custkey % 3 != 1 with a changed
+    balance) together cover every customer; custkey % 3 == 2 is in both.
+    """
     c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
     a = c.where(F.col("c_custkey") % 3 != 0).withColumn("priority", F.lit(0))
     b = (c.where(F.col("c_custkey") % 3 != 1)
