@@ -20,6 +20,10 @@ breaks that.  This is an exact selection in passes instead:
 4. a bracket with at most ``final_rows`` values is ranked with a window
    whose partitions are bounded by ``final_rows``.
 
+When no group has more than ``final_rows`` values (known after pass 1),
+Spark's exact ``percentile`` is itself bounded by that many entries per
+group and finishes in one aggregation.
+
 Every task sees bounded state whatever the skew; each pass is one scan with
 the brackets joined by group key (broadcast by AQE when small).
 """
@@ -68,8 +72,19 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str]
     # Pass 1: log-spaced histogram per group (monotone in the value).
     lh = _cache(data.groupBy(*gk, _log_key(F.col("_v")).alias("_key")).agg(
         F.count(F.lit(1)).alias("_bc"), F.min("_v").alias("_bmin"), F.max("_v").alias("_bmax")))
-    stats = lh.groupBy(*gk).agg(F.sum("_bc").alias("_n"), F.min("_bmin").alias("_min"),
-                                F.max("_bmax").alias("_max"))
+    stats = _cache(lh.groupBy(*gk).agg(F.sum("_bc").alias("_n"), F.min("_bmin").alias("_min"),
+                                       F.max("_bmax").alias("_max")))
+    # Every group has at most final_rows values: Spark's exact percentile keeps
+    # at most that many entries per group, so one aggregation finishes.
+    largest = stats.agg(F.max("_n")).first()[0]
+    if largest is None or largest <= final_rows:
+        pq = data.groupBy(*gk).agg(
+            F.percentile(F.col("_v"), F.array(*[F.lit(float(p)) for p in probs])).alias("_q"))
+        out = stats.join(pq, on=gk, how="inner")
+        return out.select(*keys, F.col("_n").alias("n"), F.col("_min").alias("min"),
+                          F.col("_max").alias("max"),
+                          *[F.col("_q")[i].alias(f"q{i}") for i in range(len(probs))])
+
     cw = (Window.partitionBy(*gk).orderBy("_key")
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     lh = lh.withColumn("_cum", F.sum("_bc").over(cw))
@@ -89,67 +104,84 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str]
         *gk, "_p", "_pos", "_k", F.col("_bmin").alias("_lo"), F.col("_bmax").alias("_hi"),
         (F.col("_cum") - F.col("_bc")).alias("_below"), F.col("_bc").alias("_cnt"),
         F.when(F.col("_bmin") == F.col("_bmax"), F.col("_bmin")).alias("_val")))
-    stats = stats.select(*gk, "_n", "_min", "_max")
 
     bracket = [*gk, "_lo", "_hi"]
+    width_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for npass in range(max_passes):
-        active = targets.where(F.col("_val").isNull())
-        if not active.take(1):
+        # One small job decides what this pass has to do.
+        todo = targets.agg(
+            F.count(F.when(F.col("_val").isNull() & (F.col("_cnt") <= final_rows), 1)),
+            F.count(F.when(F.col("_val").isNull() & (F.col("_cnt") > final_rows), 1))).first()
+        n_small, n_large = todo[0], todo[1]
+        if n_small == 0 and n_large == 0:
             break
-        done = targets.where(F.col("_val").isNotNull())
-        small = active.where(F.col("_cnt") <= final_rows)
-        large = active.where(F.col("_cnt") > final_rows)
-
-        # Brackets small enough to rank directly: windows bounded by final_rows.
-        sb = small.select(*bracket).distinct()
-        inside = (data.join(sb, on=gk, how="inner")
-                  .where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))))
-        w = Window.partitionBy(*bracket).orderBy("_v")
-        ranked = inside.select(*bracket, "_v", (F.row_number().over(w) - 1).alias("_r"))
-        small_done = (small.drop("_val")
-                      .join(ranked, on=bracket, how="inner")
-                      .where(F.col("_r") == F.col("_k") - F.col("_below"))
-                      .select(*targets.columns[:-1], F.col("_v").alias("_val")))
-
-        # Large brackets: one histogram pass, shrink to the bin holding the rank.
-        lb = large.select(*bracket).distinct()
-        width = F.col("_hi") - F.col("_lo")
-        b = F.least(F.floor((F.col("_v") - F.col("_lo")) / width * F.lit(float(bins))),
-                    F.lit(bins - 1)).cast("int")
-        hist = (data.join(lb, on=gk, how="inner")
-                .where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
-                .select(*bracket, "_v", b.alias("_bin"))
-                .groupBy(*bracket, "_bin")
-                .agg(F.count(F.lit(1)).alias("_bc"), F.min("_v").alias("_bmin"),
-                     F.max("_v").alias("_bmax")))
-        cw = (Window.partitionBy(*bracket).orderBy("_bin")
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        hist = hist.withColumn("_cum", F.sum("_bc").over(cw))
-        chosen = (large.join(hist, on=bracket, how="inner")
-                  .where((F.col("_k") - F.col("_below") < F.col("_cum"))
-                         & (F.col("_k") - F.col("_below") >= F.col("_cum") - F.col("_bc"))))
-        refined = chosen.select(
-            *gk, "_p", "_pos", "_k", F.col("_bmin").alias("_lo"), F.col("_bmax").alias("_hi"),
-            (F.col("_below") + F.col("_cum") - F.col("_bc")).alias("_below"),
-            F.col("_bc").alias("_cnt"),
-            F.when(F.col("_bmin") == F.col("_bmax"), F.col("_bmin")).alias("_val"))
-        targets = done.unionByName(small_done).unionByName(refined)
+        parts = [targets.where(F.col("_val").isNotNull())]
+        active = targets.where(F.col("_val").isNull())
+
+        if n_small:
+            # Brackets small enough to rank directly: windows bounded by final_rows.
+            small = active.where(F.col("_cnt") <= final_rows)
+            sb = small.select(*bracket).distinct()
+            inside = (data.join(sb, on=gk, how="inner")
+                      .where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))))
+            w = Window.partitionBy(*bracket).orderBy("_v")
+            ranked = inside.select(*bracket, "_v", (F.row_number().over(w) - 1).alias("_r"))
+            parts.append(small.drop("_val")
+                         .join(ranked, on=bracket, how="inner")
+                         .where(F.col("_r") == F.col("_k") - F.col("_below"))
+                         .select(*targets.columns[:-1], F.col("_v").alias("_val")))
+
+        if n_large:
+            # Large brackets: one histogram pass, shrink to the bin holding the rank.
+            large = active.where(F.col("_cnt") > final_rows)
+            lb = large.select(*bracket).distinct()
+            width = F.col("_hi") - F.col("_lo")
+            b = F.least(F.floor((F.col("_v") - F.col("_lo")) / width * F.lit(float(bins))),
+                        F.lit(bins - 1)).cast("int")
+            hist = (data.join(lb, on=gk, how="inner")
+                    .where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+                    .select(*bracket, "_v", b.alias("_bin"))
+                    .groupBy(*bracket, "_bin")
+                    .agg(F.count(F.lit(1)).alias("_bc"), F.min("_v").alias("_bmin"),
+                         F.max("_v").alias("_bmax")))
+            cw = (Window.partitionBy(*bracket).orderBy("_bin")
+                  .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+            hist = hist.withColumn("_cum", F.sum("_bc").over(cw))
+            chosen = (large.join(hist, on=bracket, how="inner")
+                      .where((F.col("_k") - F.col("_below") < F.col("_cum"))
+                             & (F.col("_k") - F.col("_below") >= F.col("_cum") - F.col("_bc"))))
+            parts.append(chosen.select(
+                *gk, "_p", "_pos", "_k", F.col("_bmin").alias("_lo"), F.col("_bmax").alias("_hi"),
+                (F.col("_below") + F.col("_cum") - F.col("_bc")).alias("_below"),
+                F.col("_bc").alias("_cnt"),
+                F.when(F.col("_bmin") == F.col("_bmax"), F.col("_bmin")).alias("_val")))
+
+        nxt = parts[0]
+        for part in parts[1:]:
+            nxt = nxt.unionByName(part)
+        nxt = nxt.coalesce(width_parts)
         # Cached each pass; every fourth pass written out to cut the lineage.
-        targets = (reliable_checkpoint(targets, "quantile-targets") if npass % 4 == 3
-                   else _cache(targets))
+        old = targets
+        targets = (reliable_checkpoint(nxt, "quantile-targets") if npass % 4 == 3
+                   else _cache(nxt))
+        old.unpersist()
     else:
         raise RuntimeError("exact_quantiles did not converge")
 
-    # Linear interpolation between the two order statistics of each prob.
-    per = (targets.groupBy(*gk, "_p", "_pos")
-           .agg(F.min(F.struct("_k", "_val")).alias("_a"), F.max(F.struct("_k", "_val")).alias("_b")))
-    frac = F.col("_pos") - F.floor("_pos")
-    lo_v, hi_v = F.col("_a._val"), F.col("_b._val")
-    q = F.when(frac == 0, lo_v).otherwise(lo_v + (hi_v - lo_v) * frac)
-    wide = (per.select(*gk, "_p", q.alias("_q"))
-            .groupBy(*gk).pivot("_p", list(range(len(probs)))).agg(F.first("_q")))
-    out = stats.select(*gk, F.col("_n").alias("n"), F.col("_min").alias("min"),
-                       F.col("_max").alias("max")).join(wide, on=gk, how="inner")
-    out = out.select(*keys, "n", "min", "max",
-                     *[F.col(str(i)).alias(f"q{i}") for i in range(len(probs))])
-    return out
+    # Linear interpolation between the two order statistics of each prob, in
+    # one aggregation: per prob the lower (min_by rank) and upper (max_by rank).
+    aggs = []
+    for i in range(len(probs)):
+        on = F.col("_p") == i
+        aggs += [F.min_by(F.when(on, F.col("_val")), F.when(on, F.col("_k"))).alias(f"_lo{i}"),
+                 F.max_by(F.when(on, F.col("_val")), F.when(on, F.col("_k"))).alias(f"_hi{i}"),
+                 F.max(F.when(on, F.col("_pos"))).alias(f"_pos{i}")]
+    per = targets.groupBy(*gk).agg(*aggs)
+    qs = []
+    for i in range(len(probs)):
+        lo_v, hi_v, pos_i = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_pos{i}")
+        frac = pos_i - F.floor(pos_i)
+        qs.append(F.when(frac == 0, lo_v).otherwise(lo_v + (hi_v - lo_v) * frac).alias(f"q{i}"))
+    out = stats.join(per, on=gk, how="inner")
+    return out.select(*keys, F.col("_n").alias("n"), F.col("_min").alias("min"),
+                      F.col("_max").alias("max"), *qs)
