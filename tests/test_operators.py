@@ -201,3 +201,10 @@ def test_exact_quantiles_match_numpy(spark, bins, final_rows):
         got = [out[g][f"q{i}"] for i in range(len(probs))]
         assert got == pytest.approx(exp.tolist(), rel=1e-12, abs=1e-9)
         assert out[g].n == len(vals) and out[g]["min"] == vals.min()
+
+
+def test_long_selection_semi_join(spark):
+    df = spark.createDataFrame([(str(i % 50),) for i in range(200)], "g string")
+    sel = [str(i) for i in range(1500)]
+    assert PD.in_categories(df, "g", sel).count() == 200
+    assert PD.in_categories(df, "g", sel[10:]).count() == 160

@@ -147,7 +147,11 @@ def to_number_typed(df, name: str) -> Column:
 
 
 # ------------------------------------------------------------ D5, D6, D8
-_DASHES = "[\\x{2013}\\x{2014}\\x{2212}]"  # en dash, em dash, minus sign
+# The dash characters read as "-" in owner ranges (en dash,
+# em dash, minus sign), and the whole-cell range pattern (digits with
+# thousands commas, optional decimals, optional "- high"), written for Java
+# with Python's whitespace and Unicode-digit classes.
+_DASHES = "[–—−]"
 _RANGE_APP_RE = (
     f"^{_WS}*([0-9,]+(?:\\.\\p{{Nd}}+)?){_WS}*(?:-{_WS}*([0-9,]+(?:\\.\\p{{Nd}}+)?))?{_WS}*\\z"
 )
