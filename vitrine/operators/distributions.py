@@ -22,6 +22,7 @@ from vitrine.functions.parse import to_number_typed
 from vitrine.operators.aggregates import top_categories
 from vitrine.operators.predicates import drop_null_key
 from vitrine.operators.quantiles import exact_quantiles
+from vitrine.session import materialize
 
 HIST_SCHEMA = "bin INT, bin_left DOUBLE, bin_right DOUBLE, bin_center DOUBLE, count BIGINT"
 
@@ -90,11 +91,8 @@ def histogram(df: DataFrame, col: str, bins: int = 50, log_bins: bool = False) -
                     F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count")))
 
 
-def _quartiles(v: Column, exact: bool, accuracy: int) -> Column:
-    probs = [0.25, 0.5, 0.75]
-    if exact:
-        return F.percentile(v, F.array(*[F.lit(p) for p in probs]))
-    return F.percentile_approx(v, probs, accuracy).cast("array<double>")
+def _approx_quartiles(v: Column, accuracy: int) -> Column:
+    return F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy).cast("array<double>")
 
 
 def box_summary(df: DataFrame, value: str, by: list[str] | str | None = None,
@@ -122,7 +120,7 @@ def box_summary(df: DataFrame, value: str, by: list[str] | str | None = None,
     else:
         q = data.groupBy(*gkeys).agg(
             F.count(F.lit(1)).alias("n"), F.min("v").alias("min"), F.max("v").alias("max"),
-            _quartiles(F.col("v"), exact, accuracy).alias("_q"))
+            _approx_quartiles(F.col("v"), accuracy).alias("_q"))
         q = q.select(*gkeys, "n", "min", F.col("_q")[0].alias("q1"),
                      F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"), "max")
     # One row per group: AQE broadcasts it when small, else a shuffle join.
@@ -146,11 +144,11 @@ def distribution_by_category(df: DataFrame, category: str, value: str, top_n: in
 
     Rows with a missing value or category are removed first, then the
     categories are ranked on the cleaned rows; the at most N winners are
-    broadcast into a semi join.
+    cached once (every later pass reuses them) and broadcast into a semi join.
     """
     v = to_number_typed(df, value)
     clean = (df.select(F.col(category), v.alias(value))
              .where(F.col(value).isNotNull() & F.col(category).isNotNull()))
-    top = top_categories(clean, category, top_n).select(category)
+    top = materialize(top_categories(clean, category, top_n).select(category))
     kept = clean.join(F.broadcast(top), on=category, how="left_semi")
     return box_summary(kept, value, by=category, exact=exact)
