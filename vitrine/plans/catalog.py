@@ -12,7 +12,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vitrine.functions import parse as P
 from vitrine.operators import aggregates as A
@@ -23,7 +22,7 @@ from vitrine.operators import profile as PR
 from vitrine.operators import sampling as X
 from vitrine.operators import series as R
 from vitrine.operators import tags as TG
-from vitrine.plans.fixtures import table, titles_raw, titles_raw_table, with_titles, written_once
+from vitrine.plans.fixtures import table, titles_raw_table, with_titles, written_once
 from vitrine.session import scratch_path
 from vitrine.sources import csv as CSV
 from vitrine.sources import export as EXP
