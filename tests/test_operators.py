@@ -208,3 +208,16 @@ def test_long_selection_semi_join(spark):
     sel = [str(i) for i in range(1500)]
     assert PD.in_categories(df, "g", sel).count() == 200
     assert PD.in_categories(df, "g", sel[10:]).count() == 160
+
+
+def test_grouped_histogram_matches_numpy(spark):
+    rng = np.random.default_rng(11)
+    groups = {"a": np.round(rng.normal(50, 20, 500), 1), "b": np.full(7, 3.0),
+              "c": np.round(rng.uniform(0, 1, 300), 3)}
+    rows = [(g, float(v)) for g, vals in groups.items() for v in vals] + [("a", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    out = D.grouped_histogram(df, "v", "g", bins=13).collect()
+    for g, vals in groups.items():
+        got = [r["count"] for r in sorted((r for r in out if r.g == g), key=lambda r: r.bin)]
+        exp, _ = np.histogram(vals, bins=np.linspace(vals.min(), vals.max(), 14))
+        assert got == exp.tolist(), g

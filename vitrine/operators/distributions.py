@@ -138,9 +138,46 @@ def box_summary(df: DataFrame, value: str, by: list[str] | str | None = None,
                       "lower_whisker", "upper_whisker", "n_outliers")
 
 
+def grouped_histogram(df: DataFrame, col: str, by: str, bins: int = 50) -> DataFrame:
+    """A12 per group: equal-width bins between each group's own min and max.
+
+    Edges follow numpy's ``linspace`` arithmetic (``i * step + min``, the
+    last edge is the max) but are computed per group in Spark, so nothing
+    per group reaches the driver.  Left-closed bins, last bin closed, empty
+    bins kept (groups x bins rows).  Output: by, bin, bin_left, bin_right,
+    bin_center, count.
+    """
+    v = to_number_typed(df, col)
+    data = drop_null_key(df.select(F.col(by), v.alias("v")), by).where(F.col("v").isNotNull())
+    bounds = materialize(data.groupBy(by).agg(F.min("v").alias("_lo"), F.max("v").alias("_hi")))
+    step = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
+
+    def edge(i):
+        return F.when(i >= bins, F.col("_hi")).otherwise(i.cast("double") * step + F.col("_lo"))
+
+    est = F.floor((F.col("v") - F.col("_lo")) / step)
+    i = F.when(F.col("_hi") == F.col("_lo"), F.lit(bins - 1)).otherwise(
+        F.least(F.greatest(est.cast("int"), F.lit(0)), F.lit(bins - 1)))
+    i = F.when(F.col("v") < edge(i), i - 1).otherwise(i)
+    i = F.least(F.greatest(i, F.lit(0)), F.lit(bins - 1))
+    i = F.when((i < bins - 1) & (F.col("v") >= edge(i + 1)), i + 1).otherwise(i)
+    i = F.when((i < bins - 1) & (F.col("v") >= edge(i + 1)), i + 1).otherwise(i)
+    # One row per group: AQE broadcasts the bounds when small.
+    counted = (data.join(bounds, on=by, how="inner").select(by, i.alias("bin"))
+               .groupBy(by, "bin").agg(F.count(F.lit(1)).alias("count")))
+    grid = bounds.select(by, "_lo", "_hi",
+                         F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    left, right = edge(F.col("bin")), edge(F.col("bin") + 1)
+    return (grid.join(counted, on=[by, "bin"], how="left")
+            .select(by, "bin", left.alias("bin_left"), right.alias("bin_right"),
+                    ((left + right) / 2.0).alias("bin_center"),
+                    F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count")))
+
+
 def distribution_by_category(df: DataFrame, category: str, value: str, top_n: int = 10,
-                             exact: bool = True) -> DataFrame:
-    """Box summary of ``value`` for the top-N categories by row count.
+                             exact: bool = True, bins: int | None = None) -> DataFrame:
+    """Box summary of ``value`` for the top-N categories by row count
+    (with ``bins``: their per-category histograms instead).
 
     Rows with a missing value or category are removed first, then the
     categories are ranked on the cleaned rows; the at most N winners are
@@ -151,4 +188,7 @@ def distribution_by_category(df: DataFrame, category: str, value: str, top_n: in
              .where(F.col(value).isNotNull() & F.col(category).isNotNull()))
     top = materialize(top_categories(clean, category, top_n).select(category))
     kept = clean.join(F.broadcast(top), on=category, how="left_semi")
+    if bins:
+        # The density shape of each kept category (A12 per group).
+        return grouped_histogram(kept, value, category, bins)
     return box_summary(kept, value, by=category, exact=exact)
