@@ -953,6 +953,16 @@ def titles_price_histogram_selected(spark, sf):
     return _round_doubles(Q.category_histogram(t, "price", selected=["ECONOMY", "PROMO"]))
 
 
+@register("titles_owners_text_histogram", with_titles(
+    ", " + _hist_sql("v", "(SELECT CASE WHEN appid % 13 = 2 AND appid % 2 = 1 THEN owners_low "
+                          "END AS v FROM titles_truth) o", 50).strip()[len("WITH "):]))
+def titles_owners_text_histogram(spark, sf):
+    """Q5 -> A12 on the owner-range text: ranges and comma numbers never
+    coerce; only plain single numbers are counted."""
+    t = titles(spark, sf)
+    return _round_doubles(Q.category_histogram(t, "estimated_owners"))
+
+
 @register("titles_playtime_distribution", with_titles(", " + _box_sql(
     "average_playtime_forever", "lp", ["main_genre"], "main_genre IN (SELECT main_genre FROM top)",
     ctes="""
