@@ -182,8 +182,10 @@ def owner_totals_by_category(df: DataFrame, genres: str, owners: str,
     sum is 0), error bars raw, top N by the summed mean.
     """
     r = owner_range_prefix(F.col(owners))
-    exploded = df.select(F.explode(genre_list_expr(F.col(genres))).alias("genre_list"),
-                         r.alias("_r"))
+    # explode_outer + NULL filter: no inferred size() filter copying the parser.
+    exploded = (df.select(F.explode_outer(genre_list_expr(F.col(genres))).alias("genre_list"),
+                          r.alias("_r"))
+                .where(F.col("genre_list").isNotNull()))
     g = exploded.groupBy("genre_list").agg(
         F.coalesce(F.sum("_r.mid"), F.lit(0.0)).alias("est_mean_sum"),
         F.coalesce(F.sum("_r.low"), F.lit(0.0)).alias("est_low_sum"),

@@ -27,10 +27,16 @@ def melt_long(df: DataFrame, index: str, category: str, value: str) -> DataFrame
 
 
 def explode_list(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
-    """One row per element; NULL and empty arrays produce no row."""
+    """One row per non-NULL element; NULL and empty arrays produce no row.
+
+    ``explode_outer`` plus a NULL filter: plain ``explode`` makes Catalyst
+    infer a ``size(array) > 0`` filter that copies the array expression, so
+    an array computed by a parser (and its Python UDF) would run twice.
+    """
     out = out or col
     others = [c for c in df.columns if c != col]
-    return df.select(*others, F.explode(F.col(col)).alias(out))
+    return (df.select(*others, F.explode_outer(F.col(col)).alias(out))
+            .where(F.col(out).isNotNull()))
 
 
 def densify_years(long_df: DataFrame, year: str, category: str, value: str,

@@ -21,8 +21,10 @@ def top_tags(df: DataFrame, top_n: int = 10, tags_col: str = "tags") -> DataFram
     """
     if tags_col not in df.columns:
         return df.sparkSession.createDataFrame([], TAG_SCHEMA)
+    # explode_outer + NULL filter: no inferred size() filter copying the parser.
     tags = (df.where(F.col(tags_col).isNotNull())
-            .select(F.explode(tag_array(F.col(tags_col))).alias("tag")))
+            .select(F.explode_outer(tag_array(F.col(tags_col))).alias("tag"))
+            .where(F.col("tag").isNotNull()))
     counts = tags.groupBy("tag").agg(F.count(F.lit(1)).alias("count"))
     return counts.orderBy(F.col("count").desc(), F.col("tag").asc()).limit(int(top_n))
 
