@@ -221,3 +221,15 @@ def test_grouped_histogram_matches_numpy(spark):
         got = [r["count"] for r in sorted((r for r in out if r.g == g), key=lambda r: r.bin)]
         exp, _ = np.histogram(vals, bins=np.linspace(vals.min(), vals.max(), 14))
         assert got == exp.tolist(), g
+
+
+def test_infer_types(spark):
+    from vitrine.sources.csv import infer_types
+    rows = [("1", "1", "1.5", "True", "x", None, " 7 "), ("2", None, "inf", "false", "1", None, "8")]
+    df = spark.createDataFrame(rows, "a string, b string, c string, d string, e string, "
+                                     "f string, g string")
+    out = infer_types(df)
+    assert dict(out.dtypes) == {"a": "bigint", "b": "double", "c": "double", "d": "boolean",
+                                "e": "string", "f": "double", "g": "bigint"}
+    assert [tuple(r) for r in out.collect()] == [(1, 1.0, 1.5, True, "x", None, 7),
+                                                 (2, None, float("inf"), False, "1", None, 8)]

@@ -725,14 +725,12 @@ FROM titles_raw
 """))
 def csv_roundtrip_titles(spark, sf):
     """S3 then S1: the raw catalogue written as CSV (quotes, commas, newlines)
-    and read back as text with pandas' missing-value tokens."""
+    and read back with pandas' missing-value tokens and whole-column type
+    inference (appid, positive -> BIGINT; playtime, peak -> DOUBLE; the
+    price column keeps text because of ``1d`` cells)."""
     path = CSV.write_csv(titles_raw_table(spark, sf), scratch_path(spark, "titles-csv"))
-    back = CSV.read_csv(spark, path)
-    return back.select(
-        F.col("appid").cast("bigint").alias("appid"), "name", "release_date", "price", "genres",
-        "tags", "estimated_owners", F.col("positive").cast("bigint").alias("positive"),
-        r4(P.to_number("average_playtime_forever")).alias("average_playtime_forever"),
-        r4(P.to_number("peak_ccu")).alias("peak_ccu"), "short_description")
+    back = CSV.infer_types(CSV.read_csv(spark, path))
+    return _round_doubles(back)
 
 
 # Snapshot column lists: the newer snapshot has ``discount``; the older one

@@ -53,6 +53,59 @@ def read_csv(spark: SparkSession, path: str, names: list[str] | None = None,
     return df
 
 
+# The text pandas reads as booleans by default.
+_TRUE_TOKENS = ("True", "TRUE", "true")
+_FALSE_TOKENS = ("False", "FALSE", "false")
+_INT_RE = "^[ \\t]*[+-]?[0-9]+[ \\t]*\\z"
+_FLOAT_RE = ("(?i)^[ \\t]*[+-]?(?:(?:[0-9]+\\.?[0-9]*|\\.[0-9]+)(?:e[+-]?[0-9]+)?|inf|infinity)"
+             "[ \\t]*\\z")
+
+
+def infer_types(df: DataFrame) -> DataFrame:
+    """Whole-column type inference as ``read_csv`` does it.
+
+    One aggregation over all text columns counts, per column, the non-missing
+    cells and those that look like integers, floats or booleans; then each
+    column is cast: all integers and no missing value -> BIGINT; integers
+    with missing values, or all floats -> DOUBLE; all True/False and no
+    missing value -> BOOLEAN; no value at all -> DOUBLE; else STRING.
+    Non-text columns are kept.
+    """
+    text = [c for c, t in df.dtypes if t == "string"]
+    if not text:
+        return df
+    aggs = [F.count(F.lit(1)).alias("_rows")]
+    for i, c in enumerate(text):
+        v = F.col(f"`{c}`")
+        aggs += [F.count(v).alias(f"n{i}"),
+                 F.count(F.when(v.rlike(_INT_RE), 1)).alias(f"i{i}"),
+                 F.count(F.when(v.rlike(_FLOAT_RE), 1)).alias(f"f{i}"),
+                 F.count(F.when(v.isin(*_TRUE_TOKENS, *_FALSE_TOKENS), 1)).alias(f"b{i}")]
+    st = df.agg(*aggs).first()
+    rows = st["_rows"]
+    kinds = {}
+    for i, c in enumerate(text):
+        n, ni, nf, nb = st[f"n{i}"], st[f"i{i}"], st[f"f{i}"], st[f"b{i}"]
+        if n == 0:
+            kinds[c] = "double"
+        elif ni == n:
+            kinds[c] = "bigint" if n == rows else "double"
+        elif nf == n:
+            kinds[c] = "double"
+        elif nb == n and n == rows:
+            kinds[c] = "boolean"
+    out = []
+    for c in df.columns:
+        col, kind = F.col(f"`{c}`"), kinds.get(c)
+        if kind == "boolean":
+            out.append(col.isin(*_TRUE_TOKENS).alias(c))
+        elif kind:
+            out.append(F.trim(col).try_cast(kind).alias(c))
+        else:
+            out.append(col)
+    return df.select(*out)
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     """S3: write with a header and no row index; a directory of part files."""
     df.write.mode(mode).options(**_WRITE_OPTIONS).csv(path)
