@@ -9,8 +9,6 @@ Ties are broken by the category ascending, so results are deterministic.
 
 from __future__ import annotations
 
-import datetime
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -136,11 +134,15 @@ def _year_window(df: DataFrame, year: str, year_min, year_max,
 
 
 def _year_start(df: DataFrame, date_col: str, y: int):
-    """Literal for January 1st of ``y`` in the type of ``date_col``."""
+    """Literal for January 1st of ``y`` in the type of ``date_col``.
+
+    Built from text, so no Python or session time zone shifts it (a
+    TIMESTAMP column is compared in the session zone, like ``year()``).
+    """
     dtype = dict(df.dtypes)[date_col]
     if dtype == "date":
-        return F.lit(datetime.date(y, 1, 1))
-    return F.lit(datetime.datetime(y, 1, 1)).cast(dtype)
+        return F.lit(f"{y:04d}-01-01").cast("date")
+    return F.lit(f"{y:04d}-01-01 00:00:00").cast(dtype)
 
 
 # -------------------------------------------------------------------- A7
