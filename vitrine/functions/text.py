@@ -23,7 +23,9 @@ PY_WHITESPACE_CLASS = (
 )
 # Python's r"[\d\W_]" on str: decimal digits, non-word characters and "_".
 # Word characters are letters and numerics, so the class keeps exactly
-# letters (L*), letter numbers (Nl) and other numbers (No).
+# letters (L*), letter numbers (Nl) and other numbers (No).  Categories come
+# from the JVM's Unicode tables (Java 17: Unicode 13); a letter assigned in
+# a later Unicode version than the JVM knows counts as punctuation here.
 PY_DIGIT_NONWORD_CLASS = "[^\\p{L}\\p{Nl}\\p{No}]"
 # Pandas read_csv default missing-value tokens.
 PANDAS_NA_TOKENS = (
