@@ -233,3 +233,14 @@ def test_infer_types(spark):
                                 "e": "string", "f": "double", "g": "bigint"}
     assert [tuple(r) for r in out.collect()] == [(1, 1.0, 1.5, True, "x", None, 7),
                                                  (2, None, float("inf"), False, "1", None, 8)]
+
+
+def test_samples_deterministic_with_duplicate_keys(spark):
+    # keys repeat with different payloads: the draw must not depend on order
+    df = spark.range(3000).selectExpr("id % 97 AS k", "id AS payload",
+                                      "CAST(id % 4 AS STRING) AS g")
+    def draw(d):
+        s = X.stratified_sample(d, "g", 101, ["k"])
+        u = X.uniform_sample(d, 57, ["k"])
+        return (sorted(r.payload for r in s.collect()), sorted(r.payload for r in u.collect()))
+    assert draw(df) == draw(df.repartition(11)) == draw(df.orderBy(F.desc("payload")))

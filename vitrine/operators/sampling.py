@@ -1,8 +1,9 @@
 """Seeded uniform (X1) and exact proportional stratified (X2) sampling.
 
-Row identity is a deterministic rank: ``md5(seed | key columns)``.  The same
-rows are drawn however the data is partitioned, and any SQL engine with
-``md5`` can reproduce the draw.  (Row identity cannot equal pandas'; the
+Row identity is a deterministic rank: ``md5(seed | key columns)``, ties
+(keys that are not unique) broken by the row's own columns.  The same rows
+are drawn however the data is partitioned, and any SQL engine with ``md5``
+can reproduce the draw.  (Row identity cannot equal pandas'; the
 contract is exact per-stratum counts and repeatability.)
 
 Stratified plan:
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vitrine.session import materialize
 
@@ -33,6 +35,20 @@ def rank_key(keys: list[str], seed: int = 1) -> Column:
     return F.md5(F.concat_ws("|", *parts))
 
 
+_ORDERABLE = (T.StringType, T.NumericType, T.BooleanType, T.DateType, T.TimestampType,
+              T.TimestampNTZType, T.BinaryType)
+
+
+def _order_columns(df: DataFrame) -> list[Column]:
+    """Rank first, then every orderable column of the row: rows that tie on
+    the key hash are ordered deterministically (rows equal in all these
+    columns are interchangeable in the output)."""
+    cols = [F.col("_rk")]
+    cols += [F.col(f"`{f.name}`").asc_nulls_first() for f in df.schema.fields
+             if isinstance(f.dataType, _ORDERABLE) and not f.name.startswith("_")]
+    return cols
+
+
 def _unit(rank: Column) -> Column:
     """Uniform value in [0, 1), monotone in the rank text."""
     head = F.conv(F.substring(rank, 1, _HEX_DIGITS), 16, 10).cast("double")
@@ -64,7 +80,7 @@ def uniform_sample(df: DataFrame, n: int, keys: list[str], seed: int = 1,
             break
         cand.unpersist()
         frac = min(1.0, max(frac, 1.0 / total) * 4.0)
-    return cand.orderBy("_rk").limit(int(n)).select(*cols)
+    return cand.orderBy(*_order_columns(df)).limit(int(n)).select(*cols)
 
 
 def stratum_sizes(df: DataFrame, by: str) -> DataFrame:
@@ -139,6 +155,6 @@ def stratified_sample(df: DataFrame, by: str, n: int, keys: list[str], seed: int
         wider = F.least(F.lit(1.0), frac * factor)
         redo = ranked.where(F.col(by).isin(short_keys) & (F.col("_u") < wider))
         cand = materialize(cand.where(~F.col(by).isin(short_keys)).unionByName(redo))
-    w = Window.partitionBy(by).orderBy("_rk")
+    w = Window.partitionBy(by).orderBy(*_order_columns(df))
     return (cand.withColumn("_n", F.row_number().over(w))
             .where(F.col("_n") <= F.col("_quota")).select(*cols))

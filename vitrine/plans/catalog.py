@@ -859,7 +859,9 @@ def documents_stratified_by_lang(spark, sf):
 
 @register("lineitem_uniform_sample", """
 SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice FROM lineitem
-ORDER BY md5(concat_ws('|', '1', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR)))
+ORDER BY md5(concat_ws('|', '1', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR))),
+         l_orderkey NULLS FIRST, l_linenumber NULLS FIRST, l_quantity NULLS FIRST,
+         l_extendedprice NULLS FIRST
 LIMIT 20000
 """)
 def lineitem_uniform_sample(spark, sf):
@@ -875,7 +877,9 @@ def lineitem_uniform_sample(spark, sf):
        FROM {_LP} WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL
          AND l_extendedprice <> 0 AND l_extendedprice >= 1000""",
     "p_type", 20000,
-    "md5(concat_ws('|', '1', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR)))",
+    "md5(concat_ws('|', '1', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR))), "
+    "l_orderkey NULLS FIRST, l_linenumber NULLS FIRST, l_quantity NULLS FIRST, "
+    "l_extendedprice NULLS FIRST, p_type NULLS FIRST, release_year NULLS FIRST",
     "l_orderkey, l_linenumber, l_quantity, l_extendedprice, p_type, release_year"))
 def lineitem_scatter_points(spark, sf):
     """Q1 (F1, D9, D3, F4, F5, X2): price x quantity points, hide zero, price >= 1000,
