@@ -744,15 +744,15 @@ SNAPSHOT_B_COLUMNS = ["AppID", "name", "release_date", "price", "genres", "estim
 def write_snapshots(spark, sf) -> tuple[str, str]:
     """Two overlapping CSV snapshots of the catalogue (fixture input for M1).
 
-    A holds appid % 3 != 0 and a ``discount``; B holds appid % 3 != 1, names
-    the key ``AppID``, has no discount and prices one higher.  Together they
-    cover every title; appid % 3 == 2 is in both.
+    A holds titles whose name sorts before "m" and has a ``discount``; B holds
+    names from "f" on, names the key ``AppID``, has no discount and prices one
+    higher.  Together they cover every title; names in ["f", "m") are in both.
     """
     raw = titles_raw_table(spark, sf)
-    a = raw.where(F.col("appid") % 3 != 0).withColumn(
+    a = raw.where(F.col("name") < "m").withColumn(
         "discount", (F.col("appid") % 7).cast("string"))
     numeric = ~F.col("price").isin("NaN", "1d")
-    b = (raw.where(F.col("appid") % 3 != 1)
+    b = (raw.where(F.col("name") >= "f")
          .withColumn("price", F.when(numeric, (F.col("price").cast("double") + F.lit(1.0))
                                      .cast("string")).otherwise(F.col("price")))
          .withColumnRenamed("appid", "AppID"))
@@ -762,7 +762,7 @@ def write_snapshots(spark, sf) -> tuple[str, str]:
 
 
 @register("csv_imposed_names", with_titles("""
-SELECT CAST(appid AS VARCHAR) AS AppID, name, price FROM titles_raw WHERE appid % 3 <> 1
+SELECT CAST(appid AS VARCHAR) AS AppID, name, price FROM titles_raw WHERE name >= 'f'
 """, price_offset=1.0).replace("THEN 'NaN'", "THEN NULL"))
 def csv_imposed_names(spark, sf):
     """CSV read with names imposed by position (header line skipped)."""
@@ -774,11 +774,11 @@ def csv_imposed_names(spark, sf):
 @register("merged_snapshot_csv", with_titles("""
 , b AS (SELECT appid, price FROM titles_raw)
 SELECT r.appid, r.name,
-       CASE WHEN r.appid % 3 <> 0 THEN
+       CASE WHEN r.name < 'm' THEN
               CASE WHEN r.price = 'NaN' THEN NULL ELSE r.price END
             ELSE CASE WHEN r.appid % 19 = 0 THEN NULL WHEN r.appid % 19 = 1 THEN '1d'
                       ELSE CAST(p.p_retailprice + 1.0 AS VARCHAR) END END AS price,
-       CASE WHEN r.appid % 3 <> 0 THEN CAST(r.appid % 7 AS VARCHAR) ELSE '0' END AS discount,
+       CASE WHEN r.name < 'm' THEN CAST(r.appid % 7 AS VARCHAR) ELSE '0' END AS discount,
        r.genres, r.estimated_owners, r.release_date
 FROM titles_raw r JOIN part p ON p.p_partkey = r.appid
 """))
@@ -802,9 +802,9 @@ def merged_snapshot_csv(spark, sf):
 
 @register("customer_keep_first", """
 WITH a AS (SELECT c_custkey, c_name, c_acctbal, c_mktsegment, 0 AS pr FROM customer
-           WHERE c_custkey % 3 <> 0),
+           WHERE c_acctbal < 5000),
 b AS (SELECT c_custkey, c_name, c_acctbal + 1 AS c_acctbal, c_mktsegment, 1 AS pr FROM customer
-      WHERE c_custkey % 3 <> 1),
+      WHERE c_acctbal >= 2000),
 u AS (SELECT * FROM a UNION ALL SELECT * FROM b),
 k AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY pr) AS rn FROM u)
 SELECT c_custkey, c_name, round(c_acctbal, 4) AS c_acctbal, c_mktsegment, pr AS priority
@@ -813,12 +813,12 @@ FROM k WHERE rn = 1
 def customer_keep_first(spark, sf):
     """U1 + U2: two overlapping customer slices, first slice wins per key.
 
-    The slices (custkey % 3 != 0, and custkey % 3 != 1 with a changed
-    balance) together cover every customer; custkey % 3 == 2 is in both.
+    The slices (balance < 5000, and balance >= 2000 with the balance changed)
+    together cover every customer; balances in [2000, 5000) are in both.
     """
     c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
-    a = c.where(F.col("c_custkey") % 3 != 0).withColumn("priority", F.lit(0))
-    b = (c.where(F.col("c_custkey") % 3 != 1)
+    a = c.where(F.col("c_acctbal") < 5000).withColumn("priority", F.lit(0))
+    b = (c.where(F.col("c_acctbal") >= 2000)
          .withColumn("c_acctbal", F.col("c_acctbal") + 1).withColumn("priority", F.lit(1)))
     kept = M.keep_first(M.union_all(a, b), "c_custkey", ["priority"])
     return _round_doubles(kept)
