@@ -1,5 +1,7 @@
 """Scratch tables go below the session's checkpoint directory."""
 
+import pytest
+
 from vitrine.session import checkpoint_root, reliable_checkpoint, scratch_path
 
 
@@ -9,8 +11,8 @@ class _Conf(dict):
 
 
 class _Context:
-    def __init__(self, conf):
-        self._conf, self.dir = _Conf(conf), None
+    def __init__(self, conf, master="local[4]"):
+        self._conf, self.dir, self.master = _Conf(conf), None, master
 
     def getConf(self):
         return self._conf
@@ -23,8 +25,8 @@ class _Context:
 
 
 class _Session:
-    def __init__(self, conf):
-        self.sparkContext = _Context(conf)
+    def __init__(self, conf, master="local[4]"):
+        self.sparkContext = _Context(conf, master)
         self.conf = _Conf()
 
 
@@ -46,3 +48,9 @@ def test_reliable_checkpoint_round_trip(spark):
     back = reliable_checkpoint(spark.range(5), "t")
     assert back.count() == 5
     assert checkpoint_root(spark) in back.inputFiles()[0]
+
+
+@pytest.mark.parametrize("master", ["yarn", "spark://host:7077", "k8s://host", "local-cluster[3,2,1024]"])
+def test_cluster_without_checkpoint_dir_raises(master):
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_root(_Session({}, master))

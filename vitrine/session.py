@@ -3,12 +3,15 @@
 Intermediate tables (CSV round trips, written snapshots) go below the
 cluster's checkpoint directory, which must be a shared file system on a
 real cluster.  The directory is read from the session; a private one is
-created only when nothing is configured (local runs and tests).
+created only when nothing is configured and the master is ``local[...]``,
+and is deleted when the driver ends.
 """
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -49,12 +52,18 @@ def build_session(
     return spark
 
 
+def is_single_machine(master: str) -> bool:
+    """True for ``local`` and ``local[...]``: driver and executors are one process."""
+    return master == "local" or master.startswith("local[")
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared checkpoint directory of the session.
 
     Reads ``spark.checkpoint.dir`` (or the directory already set on the
-    context).  Only when neither is set, a private directory is created and
-    installed, which is what local tests need.
+    context).  When neither is set, a private directory is created, installed
+    and deleted at exit on a ``local[...]`` master; any other master raises,
+    since its executors could not see such a folder.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None)
@@ -70,7 +79,13 @@ def checkpoint_root(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if current:
         return current.rstrip("/")
+    if not is_single_machine(sc.master):
+        raise ValueError(
+            f"spark.checkpoint.dir is not set and the master is {sc.master!r}: scratch tables need a "
+            "folder that the driver and all executors share"
+        )
     local = tempfile.mkdtemp(prefix="vitrine-ckpt-")
+    atexit.register(shutil.rmtree, local, ignore_errors=True)
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir().rstrip("/")
 
