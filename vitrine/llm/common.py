@@ -44,3 +44,16 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 4
             stop = max(start + 1, int(np.searchsorted(ends, done + limit, "right")))
             yield batch.slice(start, stop - start)
             start, done = stop, int(ends[stop - 1])
+
+
+def bounded_sample(rows: DataFrame, limit: int, seed: int = 17) -> DataFrame:
+    """About ``limit`` rows of ``rows`` (all of them if there are fewer), by a hash of doc_id.
+
+    The same rows on every run and under any partitioning.
+    """
+    total = rows.count()
+    if total <= limit:
+        return rows
+    grain = 1 << 30
+    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(grain))
+    return rows.where(draw < int(grain * limit / total))

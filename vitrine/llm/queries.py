@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import blocknames, chat, mixing, packing, simhash
+from vitrine.llm import blocknames, chat, langid, mixing, packing, simhash, toxicity
 from vitrine.llm.common import table
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken")
@@ -38,6 +42,10 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(turns))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 _OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
@@ -96,11 +104,13 @@ FROM t GROUP BY conv_id
 """
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": op2_language_id,
     "op4_mix_sources": op4_mix_sources,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_chat_format": op9_chat_format,
+    "op10_toxicity": op10_toxicity,
 }
 
 
