@@ -81,40 +81,44 @@ def identities(rows: DataFrame, block_chars: int = 1024) -> DataFrame:
     return out
 
 
-def exact_duplicates(docs: DataFrame, block_chars: int = 1024) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256, plus row_id.
+def exact_duplicates(docs: DataFrame, block_chars: int = 1024, keep_rows: bool = False) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
 
     Of rows with equal normalised text the one with the most code points in its
     original text, then the smallest doc_id, then the first read stays; exactly
     one row of a group is kept, also when rows repeat a doc_id.  NULL text counts
     as empty; a NULL doc_id sorts first.  An empty table gives an empty result.
+    With ``keep_rows`` a struct ``row`` of all columns of ``docs`` is added, whatever
+    their names.
     """
-    rows = docs.select(
-        "doc_id",
-        F.length(F.coalesce("text", F.lit(""))).alias("points"),
-        normalised().alias("norm"),
-    )
+    row = F.struct(*(docs.columns if keep_rows else ["doc_id", "text"])).alias("row")
     head = F.substring("norm", 1, block_chars)
-    keyed = rows.withColumn("size", F.length("norm")).withColumn("head", head)
+    keyed = (
+        docs.select(row)
+        .withColumn("norm", normalised("row.text"))
+        .select("row", F.length("norm").alias("size"), head.alias("head"))
+    )
     heads = reliable_checkpoint(
         keyed.groupBy("size", "head").agg(F.count(F.lit(1)).alias("sharers")).where("sharers > 1"), "heads"
     )
+    kept_row = ["row"] if keep_rows else []
     stored = reliable_checkpoint(
         keyed.join(heads, ["size", "head"], "left")
-        .withColumn("row_id", F.monotonically_increasing_id())
+        .withColumn("norm", normalised("row.text"))
         .select(
-            "row_id",
-            "doc_id",
-            "points",
+            F.monotonically_increasing_id().alias("row_id"),
+            F.col("row.doc_id").alias("doc_id"),
+            F.length(F.coalesce("row.text", F.lit(""))).alias("points"),
             F.sha2("norm", 256).alias("text_sha256"),
             F.when(F.col("sharers").isNotNull(), F.col("norm")).alias("norm"),
+            *kept_row,
         ),
         "rows",
     )
     alone = stored.where("norm is null").select(
-        "row_id", "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
-        F.lit(True).alias("kept"), "text_sha256",
-    )
+        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
+        F.lit(True).alias("kept"), "text_sha256", *kept_row,
+    )
     shared = stored.where("norm is not null")
     ident = reliable_checkpoint(
         shared.drop("norm").join(identities(shared.select("row_id", "norm"), block_chars), "row_id"), "identities"
@@ -122,12 +126,19 @@ def exact_duplicates(docs: DataFrame, block_chars: int = 1024) -> DataFrame:
     groups = reliable_checkpoint(
         ident.groupBy("size", "name").agg(
             F.count(F.lit(1)).alias("group_size"),
-            F.min(F.struct((-F.col("points")).alias("p"), F.col("doc_id").alias("d"), F.col("row_id").alias("r"))).alias("best"),
+            F.min(
+                F.struct((-F.col("points")).alias("p"), F.col("doc_id").alias("d"), F.col("row_id").alias("r"))
+            ).alias("best"),
         ),
         "groups",
     )
     grouped = ident.join(groups, ["size", "name"]).select(
-        "row_id", "doc_id", F.col("best.d").alias("keep_id"), "group_size",
-        (F.col("row_id") == F.col("best.r")).alias("kept"), "text_sha256",
-    )
+        "doc_id", F.col("best.d").alias("keep_id"), "group_size",
+        (F.col("row_id") == F.col("best.r")).alias("kept"), "text_sha256", *kept_row,
+    )
     return alone.unionByName(grouped)
+
+
+def drop_exact_duplicates(docs: DataFrame, block_chars: int = 1024) -> DataFrame:
+    """The rows of ``docs`` that :func:`exact_duplicates` keeps, with their columns."""
+    return exact_duplicates(docs, block_chars, keep_rows=True).where("kept").select("row.*")

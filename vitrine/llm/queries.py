@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import blocknames, chat, langid, mixing, packing, simhash, toxicity
+from vitrine.llm import blocknames, chat, langid, mixing, packing, quality, simhash, toxicity
 from vitrine.llm.common import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", F.col("quality_score").alias("score"), F.col("quality_kept").alias("predicted")
+    )
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -26,11 +32,11 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocknames.exact_duplicates(table(spark, sf_dir, "documents")).drop("row_id")
+    return blocknames.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=2).drop("kept")
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,6 +110,7 @@ FROM t GROUP BY conv_id
 """
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_language_id": op2_language_id,
     "op4_mix_sources": op4_mix_sources,
     "op5_best_fit_packing": op5_best_fit_packing,

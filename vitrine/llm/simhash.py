@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vitrine.llm.common import slices
 from vitrine.llm.components import components
@@ -45,15 +46,22 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * set_bits > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, text) -> (doc_id, fp): fp is the fingerprint's bit pattern as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = 3, keep_rows: bool = False) -> DataFrame:
+    """(doc_id, text) -> (doc_id, fp): fp is the fingerprint's bit pattern as a signed long.
+
+    With ``keep_rows`` a struct ``row`` of all columns of ``docs`` is added.
+    """
+    row = F.struct(*docs.columns) if keep_rows else F.lit(None).cast("int")
+    docs = docs.select("doc_id", "text", row.alias("row"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             fps = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), b.column(2)], ["doc_id", "fp", "row"])
 
-    return docs.select("doc_id", "text").mapInArrow(of, "doc_id long, fp long")
+    kind = T.StructType([docs.schema["doc_id"], T.StructField("fp", T.LongType()), docs.schema["row"]])
+    out = docs.mapInArrow(of, kind)
+    return out if keep_rows else out.drop("row")
 
 
 def _mask(left_out: tuple[int, int]) -> int:
@@ -141,25 +149,37 @@ def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, fingerprint (16 hex digits), component_id.
+def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, keep_rows: bool = False) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, fingerprint (16 hex digits), component_id, kept.
 
     ``component_id`` is the smallest doc_id reachable over links of at most
-    ``max_bits`` differing bits.  Texts without words (NULL, empty, blank) have
-    fingerprint zero and link like any other.  NULL ids never name a component
-    unless all its ids are NULL.  Repeated rows and an empty table are fine.
+    ``max_bits`` differing bits; exactly one row of a component is kept, its first
+    with that doc_id.  Texts without words (NULL, empty, blank) have fingerprint
+    zero and link like any other.  A NULL doc_id names a component only if all its
+    ids are NULL.  Repeated rows and an empty table are fine.  With ``keep_rows`` a
+    struct ``row`` of all columns of ``docs`` is added.
     """
-    rows = reliable_checkpoint(fingerprints(docs, shingle), "fingerprints")
-    distinct = reliable_checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fps")
+    rows = reliable_checkpoint(
+        fingerprints(docs, shingle, keep_rows).withColumn("row_id", F.monotonically_increasing_id()), "fingerprints"
+    )
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("row_id").alias("r")))
+    distinct = reliable_checkpoint(rows.groupBy("fp").agg(first.alias("first")), "distinct-fps")
     stars = reliable_checkpoint(components(links(distinct.select("fp"), max_bits)), "stars")
     rooted = reliable_checkpoint(
-        distinct.join(stars, distinct.fp == stars.u, "left").select(
-            "fp", "first_id", F.coalesce("v", "fp").alias("root")
-        ),
+        distinct.join(stars, distinct.fp == stars.u, "left").select("fp", "first", F.coalesce("v", "fp").alias("root")),
         "rooted",
     )
-    named = reliable_checkpoint(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "named")
-    by_fp = reliable_checkpoint(rooted.join(named, "root").select("fp", "component_id"), "by-fp")
+    named = reliable_checkpoint(rooted.groupBy("root").agg(F.min("first").alias("best")), "named")
+    by_fp = reliable_checkpoint(rooted.join(named, "root").select("fp", "best"), "by-fp")
     return rows.join(by_fp, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id",
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("best.d").alias("component_id"),
+        (F.col("row_id") == F.col("best.r")).alias("kept"),
+        *(["row"] if keep_rows else []),
     )
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
+    """One row of ``docs`` for each component, with its columns."""
+    return near_duplicates(docs, shingle, max_bits, keep_rows=True).where("kept").select("row.*")
