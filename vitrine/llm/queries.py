@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import blocknames, chat, langid, mixing, packing, quality, simhash, toxicity
+from vitrine.llm import blocknames, chat, fingerprints, langid, mixing, packing, quality, simhash, toxicity
 from vitrine.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), capacity=2048, end_id=0)
 
 
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocknames.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -114,6 +118,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op4_mix_sources": op4_mix_sources,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_document_fingerprints": op6_document_fingerprints,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_chat_format": op9_chat_format,
