@@ -6,7 +6,7 @@ each of a block's three parts.  A cell holds a count, the xor of its digests and
 xor of their check values.  Two versions' sketches subtract cell by cell, which
 leaves the differing digests, and peeling recovers them: a cell with one digest
 names it, it is taken out of its other cells, and so on.  If a block doesn't
-peel, both versions are sketched again with four times as many blocks.
+peel, both versions are sketched again with half as many blocks more.
 
 All of it is column expressions; the only rows that move are a document's text
 once, by its id, and the opening of the next document.
@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from vitrine.session import reliable_checkpoint
 
-#: Blocks of the successive attempts; beyond them the digest sets are compared as they are.
-LADDER = (1, 4, 16, 64)
+#: Blocks of the attempts after the one-block fingerprint; an attempt ends at its first block that doesn't
+#: peel.  Beyond them the digest sets are compared as they are.
+LADDER = (2, 3, 5, 8, 12, 18, 27, 40, 60, 90, 135)
 _PARTS = ((0, 11), (11, 11), (22, 10))  # first cell and cells of the parts of a block
 _ROUNDS = 16
 
@@ -71,30 +72,46 @@ def block(members: Column) -> Column:
     return F.concat(*[part(i, first, n) for i, (first, n) in enumerate(_PARTS)])
 
 
+def _alone(cells: Column) -> Column:
+    """Entries of the digests that are by themselves in some cell."""
+
+    def signed(sign: int) -> Column:
+        pure = F.filter(cells, lambda x: (x["n"] == sign) & (x["chk"] == _check(x["key"])))
+        keys = F.array_distinct(F.transform(pure, lambda x: x["key"]))
+        return F.transform(keys, lambda d: _entry(d, F.lit(sign)))
+
+    return F.concat(signed(1), signed(-1))
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value evaluated once."""
+    return F.transform(F.array(value), lambda v: use(v))[0]
+
+
 def peeled(cells: Column) -> Column:
     """Number of digests recovered from a block's difference, NULL if it doesn't peel."""
 
-    def taken(state: Column, pure: Column) -> Column:
-        left = F.transform(
-            state["cells"],
-            lambda x, i: F.aggregate(
-                F.filter(pure, lambda e: (e["c0"] == i) | (e["c1"] == i) | (e["c2"] == i)),
-                x,
-                lambda y, e: _plus(y, e, -1),
-            ),
-        )
-        return F.struct(left.alias("cells"), (state["found"] + F.size(pure)).alias("found"))
+    def without(cells: Column, pure: Column) -> Column:
+        def part(i: int, first: int, n: int) -> Column:
+            return F.transform(
+                F.slice(cells, first + 1, n),
+                lambda x, j: F.aggregate(
+                    F.filter(pure, lambda e: e[f"c{i}"] == j + first), x, lambda y, e: _plus(y, e, -1)
+                ),
+            )
+
+        return F.concat(*[part(i, first, n) for i, (first, n) in enumerate(_PARTS)])
 
-    def step(state: Column, _: Column) -> Column:
-        alone = F.filter(state["cells"], lambda x: (F.abs(x["n"]) == 1) & (x["chk"] == _check(x["key"])))
-        pure = F.array_distinct(F.transform(alone, lambda x: _entry(x["key"], x["n"])))
-        once = F.array(pure)  # evaluates the pure cells once
-        return F.transform(once, lambda p: F.when(F.size(p) == 0, state).otherwise(taken(state, p)))[0]
+    def state(cells: Column, found: Column) -> Column:
+        return _once(cells, lambda c: F.struct(c.alias("cells"), _alone(c).alias("pure"), found.alias("found")))
+
+    def step(s: Column, _: Column) -> Column:
+        more = state(without(s["cells"], s["pure"]), s["found"] + F.size(s["pure"]))
+        return F.when(F.size(s["pure"]) == 0, s).otherwise(more)
 
-    start = F.struct(cells.alias("cells"), F.lit(0).alias("found"))
     return F.aggregate(
         F.sequence(F.lit(1), F.lit(_ROUNDS)),
-        start,
+        state(cells, F.lit(0)),
         step,
         lambda s: F.when(~F.exists(s["cells"], lambda x: (x["n"] != 0) | (x["key"] != 0)), s["found"]),
     )
@@ -108,15 +125,18 @@ def differing(a: Column, b: Column, first: Column, keys_a: Column, keys_b: Colum
     """Digests in one of two versions only.  ``first`` is the difference of their one-block sketches,
     ``a`` and ``b`` their entries for the retries, ``keys_a`` and ``keys_b`` the digests."""
 
-    def attempt(blocks: int) -> Column:
+    def attempt(blocks: Column) -> Column:
         def one(total: Column, k: Column) -> Column:
-            of = lambda es: block(F.filter(es, lambda e: F.pmod(e["key"], F.lit(blocks)) == k))
+            of = lambda es: _once(F.filter(es, lambda e: F.pmod(e["key"], blocks) == k), block)
             return F.when(total.isNotNull(), total + peeled(_subtracted(of(a), of(b))))
 
-        return F.aggregate(F.sequence(F.lit(0), F.lit(blocks - 1)), F.lit(0), one)
+        return F.aggregate(F.sequence(F.lit(0), blocks - 1), F.lit(0), one)
 
     exact = F.size(F.array_except(keys_a, keys_b)) + F.size(F.array_except(keys_b, keys_a))
-    return F.coalesce(peeled(first), *[attempt(n) for n in LADDER[1:]], exact)
+    larger = F.aggregate(
+        F.array(*map(F.lit, LADDER)), F.lit(None).cast("int"), lambda done, n: F.coalesce(done, attempt(n))
+    )
+    return F.coalesce(peeled(first), larger, exact)
 
 
 def likeness(keys_a: Column, keys_b: Column, differ: Column) -> Column:
