@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 
 from vitrine.functions.parse import error_bounds, owner_range, owner_range_prefix, to_number_typed
 from vitrine.functions.parse import genre_list as genre_list_expr
-from vitrine.operators.predicates import drop_null_key, in_categories
+from vitrine.operators.predicates import drop_null_key, in_categories, year_between
 from vitrine.session import materialize
 
 
+OWNERS = "estimated_owners"  # the column of owner ranges (fixed value)
+
+
 def _numeric(df: DataFrame, y: str):
     return to_number_typed(df, y)
 
@@ -41,12 +44,12 @@ def top_categories(df: DataFrame, category: str, k: int) -> DataFrame:
 def selected_or_top(df: DataFrame, category: str, selected, k: int) -> DataFrame:
     """Rows of ``df`` in the selection, or in the top-k categories when none is given.
 
-    The top-k list has at most k rows, so it is broadcast into a semi join.
+    The top-k list is computed first, so the planner knows its size.
     """
     if selected:
         return in_categories(df, category, selected)
-    top = top_categories(df, category, k).select(category)
-    return df.join(F.broadcast(top), on=category, how="left_semi")
+    top = materialize(top_categories(df, category, k).select(category))
+    return df.join(top, on=category, how="left_semi")
 
 
 # ----------------------------------------------------------- A1, A5, A6
@@ -56,8 +59,11 @@ def mean_by_category(df: DataFrame, category: str, y: str, top_n: int = 15,
 
     Y is coerced to numbers (bad text -> missing) and missing values are
     skipped.  With ``drop_missing_means`` categories without any value are
-    removed; otherwise they sort last and may appear.
+    removed; otherwise they sort last and may appear.  Y = ``estimated_owners``
+    is a text range and gives A2.
     """
+    if y == OWNERS:
+        return owner_means_by_category(df, category, y, top_n, selected)
     data = in_categories(df, category, selected)
     data = drop_null_key(data, category).select(
         F.col(category), _numeric(data, y).alias("_y"))
@@ -122,14 +128,11 @@ def sum_per_year(df: DataFrame, year: str, category: str, value: str, selected=N
 def _year_window(df: DataFrame, year: str, year_min, year_max,
                  date_col: str | None = None) -> DataFrame:
     """F3 on the year; with ``date_col`` also as a pushable date range."""
-    if year_min is not None:
-        df = df.where(F.col(year) >= int(year_min))
-        if date_col:
-            df = df.where(F.col(date_col) >= _year_start(df, date_col, int(year_min)))
-    if year_max is not None:
-        df = df.where(F.col(year) <= int(year_max))
-        if date_col:
-            df = df.where(F.col(date_col) < _year_start(df, date_col, int(year_max) + 1))
+    df = year_between(df, year, year_min, year_max)
+    if date_col and year_min is not None:
+        df = df.where(F.col(date_col) >= _year_start(df, date_col, int(year_min)))
+    if date_col and year_max is not None:
+        df = df.where(F.col(date_col) < _year_start(df, date_col, int(year_max) + 1))
     return df
 
 

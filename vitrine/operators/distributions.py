@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 
 from vitrine.functions.parse import to_number_typed
 from vitrine.operators.aggregates import top_categories
-from vitrine.operators.predicates import drop_null_key
+from vitrine.operators.predicates import drop_null_key, positive_only
 from vitrine.operators.quantiles import exact_quantiles
-from vitrine.session import materialize
+from vitrine.session import materialize, reliable_checkpoint
 
 HIST_SCHEMA = "bin INT, bin_left DOUBLE, bin_right DOUBLE, bin_center DOUBLE, count BIGINT"
 
@@ -60,26 +60,32 @@ def _bin_index(v: Column, edges: np.ndarray, bins: int, log_bins: bool) -> Colum
     return i
 
 
-def histogram(df: DataFrame, col: str, bins: int = 50, log_bins: bool = False) -> DataFrame:
+def histogram(df: DataFrame, col: str, bins: int = 50, log_bins: bool = False,
+              log_x: bool = False) -> DataFrame:
     """Equal-width (or log-spaced) histogram of a numeric column.
 
     Values are coerced (bad text -> missing); for log bins only values > 0
-    count.  Bins are left-closed, the last one closed; empty bins are kept;
+    count, and so with ``log_x``, which keeps equal-width bins.  The edges span
+    the finite values; -inf counts in the first bin and inf in the last, so no
+    row is lost.  Without a finite value the result is empty.  Bins are left-closed, the last one closed; empty bins are kept;
     values outside the outer edges (possible with log edges) are not
     counted.  Output: bin, bin_left, bin_right, bin_center, count.
     """
     spark = df.sparkSession
     v = to_number_typed(df, col)
     data = df.select(v.alias("v")).where(F.col("v").isNotNull())
-    if log_bins:
-        data = data.where(F.col("v") > 0)
-    stats = data.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    data = positive_only(data, "v", log_bins or log_x)
+    finite = F.when(F.abs(F.col("v")) != F.lit(float("inf")), F.col("v"))
+    stats = data.agg(F.min(finite).alias("lo"), F.max(finite).alias("hi")).first()
     if stats is None or stats["lo"] is None:
         return spark.createDataFrame([], HIST_SCHEMA)
     edges = bin_edges(float(stats["lo"]), float(stats["hi"]), bins, log_bins)
     lo_edge, hi_edge = float(edges[0]), float(edges[-1])
-    counted = (data.where((F.col("v") >= lo_edge) & (F.col("v") <= hi_edge))
-               .select(_bin_index(F.col("v"), edges, bins, log_bins).alias("bin"))
+    inside = (F.col("v") >= lo_edge) & (F.col("v") <= hi_edge)
+    index = (F.when(F.col("v") == F.lit(float("inf")), F.lit(bins - 1))
+             .when(F.col("v") == F.lit(float("-inf")), F.lit(0))
+             .when(inside, _bin_index(F.col("v"), edges, bins, log_bins)))
+    counted = (data.select(index.alias("bin")).where(F.col("bin").isNotNull())
                .groupBy("bin").agg(F.count(F.lit(1)).alias("count")))
     e = F.array(*[F.lit(float(x)) for x in edges])
     all_bins = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
@@ -113,8 +119,9 @@ def box_summary(df: DataFrame, value: str, by: list[str] | str | None = None,
     gkeys = keys or ["_all"]
     if not keys:
         data = data.withColumn("_all", F.lit(0))
+    data = reliable_checkpoint(data, "box-input")  # keys and value, read by every pass below
     if exact:
-        q = exact_quantiles(data, "v", [0.25, 0.5, 0.75], by=gkeys)
+        q = exact_quantiles(data, "v", [0.25, 0.5, 0.75], by=gkeys, written=True)
         q = q.select(*gkeys, "n", "min", F.col("q0").alias("q1"), F.col("q1").alias("median"),
                      F.col("q2").alias("q3"), "max")
     else:
@@ -123,7 +130,8 @@ def box_summary(df: DataFrame, value: str, by: list[str] | str | None = None,
             _approx_quartiles(F.col("v"), accuracy).alias("_q"))
         q = q.select(*gkeys, "n", "min", F.col("_q")[0].alias("q1"),
                      F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"), "max")
-    # One row per group: AQE broadcasts it when small, else a shuffle join.
+    # Written, so the planner knows its size and broadcasts it when small: the rows stay in place.
+    q = reliable_checkpoint(q, "quartiles")
     fenced = data.join(q.select(*gkeys, "q1", "q3"), on=gkeys, how="inner")
     iqr = F.col("q3") - F.col("q1")
     lo_f = F.col("q1") - F.lit(whisker) * iqr
@@ -144,17 +152,23 @@ def grouped_histogram(df: DataFrame, col: str, by: str, bins: int = 50) -> DataF
     Edges follow numpy's ``linspace`` arithmetic (``i * step + min``, the
     last edge is the max) but are computed per group in Spark, so nothing
     per group reaches the driver.  Left-closed bins, last bin closed, empty
-    bins kept (groups x bins rows).  Output: by, bin, bin_left, bin_right,
+    bins kept (groups x bins rows); infinite values count in the outer bins,
+    a group without a finite value has none.  Output: by, bin, bin_left, bin_right,
     bin_center, count.
     """
     v = to_number_typed(df, col)
     data = drop_null_key(df.select(F.col(by), v.alias("v")), by).where(F.col("v").isNotNull())
-    bounds = materialize(data.groupBy(by).agg(F.min("v").alias("_lo"), F.max("v").alias("_hi")))
+    finite = F.when(F.abs(F.col("v")) != F.lit(float("inf")), F.col("v"))
+    bounds = materialize(data.groupBy(by).agg(F.min(finite).alias("_lo"), F.max(finite).alias("_hi"))
+                         .where(F.col("_lo").isNotNull()))
     step = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
 
     def edge(i):
         return F.when(i >= bins, F.col("_hi")).otherwise(i.cast("double") * step + F.col("_lo"))
 
+    # An infinite value counts in the outer bin, like the group's own least or greatest value.
+    data = data.join(bounds, on=by, how="inner").withColumn(
+        "v", F.least(F.greatest(F.col("v"), F.col("_lo")), F.col("_hi")))
     est = F.floor((F.col("v") - F.col("_lo")) / step)
     i = F.when(F.col("_hi") == F.col("_lo"), F.lit(bins - 1)).otherwise(
         F.least(F.greatest(est.cast("int"), F.lit(0)), F.lit(bins - 1)))
@@ -162,8 +176,7 @@ def grouped_histogram(df: DataFrame, col: str, by: str, bins: int = 50) -> DataF
     i = F.least(F.greatest(i, F.lit(0)), F.lit(bins - 1))
     i = F.when((i < bins - 1) & (F.col("v") >= edge(i + 1)), i + 1).otherwise(i)
     i = F.when((i < bins - 1) & (F.col("v") >= edge(i + 1)), i + 1).otherwise(i)
-    # One row per group: AQE broadcasts the bounds when small.
-    counted = (data.join(bounds, on=by, how="inner").select(by, i.alias("bin"))
+    counted = (data.select(by, i.alias("bin"))
                .groupBy(by, "bin").agg(F.count(F.lit(1)).alias("count")))
     grid = bounds.select(by, "_lo", "_hi",
                          F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
@@ -180,14 +193,15 @@ def distribution_by_category(df: DataFrame, category: str, value: str, top_n: in
     (with ``bins``: their per-category histograms instead).
 
     Rows with a missing value or category are removed first, then the
-    categories are ranked on the cleaned rows; the at most N winners are
-    cached once (every later pass reuses them) and broadcast into a semi join.
+    categories are ranked on the cleaned rows, which are written once.  The at
+    most N winners are cached, so the planner knows their size.
     """
     v = to_number_typed(df, value)
     clean = (df.select(F.col(category), v.alias(value))
              .where(F.col(value).isNotNull() & F.col(category).isNotNull()))
+    clean = reliable_checkpoint(clean, "category-values")
     top = materialize(top_categories(clean, category, top_n).select(category))
-    kept = clean.join(F.broadcast(top), on=category, how="left_semi")
+    kept = clean.join(top, on=category, how="left_semi")
     if bins:
         # The density shape of each kept category (A12 per group).
         return grouped_histogram(kept, value, category, bins)

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from vitrine.functions.parse import error_bounds, owner_range, range_label, release_year
 from vitrine.functions.parse import to_number_typed, year_label
 from vitrine.operators import distributions
-from vitrine.operators.predicates import comparator_condition, in_categories, selection_list
+from vitrine.operators.aggregates import OWNERS
+from vitrine.operators.predicates import compare, drop_missing, in_categories, selection_list
+from vitrine.operators.predicates import hide_zero as drop_zero
 from vitrine.operators.sampling import stratified_sample, stratum_sizes, uniform_sample
 
 MAX_POINTS = 20_000  # cap on points per scatter (fixed value)
@@ -26,11 +28,13 @@ PLAYTIME_COLUMNS = (  # columns whose per-category histogram is a distribution s
 
 
 def _with_year_label(df: DataFrame) -> DataFrame:
-    """Text ``release_year`` for point details."""
+    """Text ``release_year`` for point details; the text of ``release_date`` where no date parses."""
     if "release_year" in df.columns:
         return df.withColumn("release_year", year_label(F.col("release_year")))
     if "release_date" in df.columns:
         yr = release_year(F.col("release_date"))
+        if df.agg(F.max(yr)).first()[0] is None:
+            return df.withColumn("release_year", F.coalesce(F.col("release_date").cast("string"), F.lit("")))
         return df.withColumn("release_year", F.coalesce(yr.cast("string"), F.lit("")))
     return df.withColumn("release_year", F.lit(""))
 
@@ -60,28 +64,24 @@ def scatter_points(df: DataFrame, x: str, y: str, keys: list[str], hide_zero: bo
                    category: str = "main_genre", seed: int = 1) -> DataFrame:
     """Q1: filtered (x, y) points, at most ``max_points``, stratified by category.
 
-    Steps: drop missing x/y; year label; category filter; coerce x and y and
+    Y = ``estimated_owners`` is a text range and gives Q2.  Steps: drop missing x/y; year label; category filter; coerce x and y and
     drop missing; hide Y == 0; comparator on Y; sample when too many.
     Output: keys, x, y, detail columns (name, category if coloured,
     release_year).
     """
-    data = df.dropna(subset=[x, y])
+    if y == OWNERS:
+        return owner_scatter(df, x, keys, y, hide_zero, operator, threshold, selected, max_points, category, seed)
+    data = drop_missing(df, [x, y])
     data = _with_year_label(data)
     if selection_list(selected) and category in data.columns:
         data = in_categories(data, category, selected)
     data = (data.withColumn(y, to_number_typed(data, y))
-            .withColumn(x, to_number_typed(data, x))
-            .dropna(subset=[x, y]))
-    if hide_zero:
-        data = data.where(F.col(y) != 0)
-    cond = comparator_condition(F.col(y), operator, threshold)
-    if cond is not None:
-        data = data.where(cond)
-    data = _cap(data, max_points, category, keys, seed)
+            .withColumn(x, to_number_typed(data, x)))
+    data = compare(drop_zero(drop_missing(data, [x, y]), y, hide_zero), y, operator, threshold)
     detail = [c for c in ("name", category) if c in data.columns and c not in keys]
-    if not color_by_category and category in detail:
-        detail.remove(category)
-    return data.select(*keys, x, y, *detail, "release_year")
+    wide = [*keys, x, y, *detail, "release_year"]
+    data = _cap(data.select(*wide), max_points, category, keys, seed)
+    return data.select(*[c for c in wide if color_by_category or c != category or c in keys])
 
 
 def owner_scatter(df: DataFrame, x: str, keys: list[str], owners: str = "estimated_owners",
@@ -94,20 +94,16 @@ def owner_scatter(df: DataFrame, x: str, keys: list[str], owners: str = "estimat
     to the midpoint.  Output adds low, high, absolute error bars and the
     ``"low - high"`` label.
     """
-    data = _with_year_label(df.dropna(subset=[x, owners]))
+    data = _with_year_label(drop_missing(df, [x, owners]))
     if selection_list(selected) and category in data.columns:
         data = in_categories(data, category, selected)
     r = owner_range(F.col(owners))
     data = (data.withColumn("y_mid", r["mid"]).withColumn("low", r["low"])
-            .withColumn("high", r["high"]).where(F.col("y_mid").isNotNull()))
-    if hide_zero:
-        data = data.where(F.col("y_mid") != 0)
-    cond = comparator_condition(F.col("y_mid"), operator, threshold)
-    if cond is not None:
-        data = data.where(cond)
-    data = _cap(data, max_points, category, keys, seed)
-    plus, minus = error_bounds("low", "y_mid", "high", mode="abs")
+            .withColumn("high", r["high"]))
+    data = compare(drop_zero(drop_missing(data, ["y_mid"]), "y_mid", hide_zero), "y_mid", operator, threshold)
     detail = [c for c in ("name", category) if c in data.columns and c not in keys]
+    data = _cap(data.select(*keys, x, "y_mid", "low", "high", *detail, "release_year"), max_points, category, keys, seed)
+    plus, minus = error_bounds("low", "y_mid", "high", mode="abs")
     return data.select(*keys, x, "y_mid", "low", "high", plus.alias("err_plus"),
                        minus.alias("err_minus"), range_label("low", "high").alias("owners_range"),
                        *detail, "release_year")
@@ -122,21 +118,16 @@ def positive_scatter(df: DataFrame, y: str, keys: list[str], hide_zero: bool = F
     data = df
     if selection_list(selected):
         data = in_categories(data, category, selected)
-    data = data.dropna(subset=[x, y])
-    data = data.withColumn(y, to_number_typed(data, y)).dropna(subset=[y])
-    if hide_zero:
-        data = data.where(F.col(y) != 0)
-    cond = comparator_condition(F.col(y), operator, threshold)
-    if cond is not None:
-        data = data.where(cond)
-    data = _cap(data, max_points, category, keys, seed, stratify=False)
+    data = drop_missing(data, [x, y])
+    data = drop_missing(data.withColumn(y, to_number_typed(data, y)), [y])
+    data = compare(drop_zero(data, y, hide_zero), y, operator, threshold)
     detail = [c for c in ("name", category) if c in data.columns and c not in keys]
-    return data.select(*keys, x, y, *detail)
+    return _cap(data.select(*keys, x, y, *detail), max_points, category, keys, seed, stratify=False)
 
 
 def pair_projection(df: DataFrame, x: str, y: str, keys: list[str] | None = None) -> DataFrame:
     """Q4: the raw (x, y) pairs of a fixed projection; rows missing either are not drawn."""
-    return df.select(*(keys or []), x, y).dropna(subset=[x, y])
+    return drop_missing(df.select(*(keys or []), x, y), [x, y])
 
 
 def category_histogram(df: DataFrame, col: str, selected=None, category: str = "main_genre",

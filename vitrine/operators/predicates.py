@@ -29,24 +29,12 @@ def selection_list(selected) -> list[str]:
     return [str(s) for s in selected]
 
 
-_LONG_SELECTION = 1000
-
-
 def in_categories(df: DataFrame, category: str, selected) -> DataFrame:
-    """keep rows whose category is in the selection; empty = no filter.
-
-    A short selection is an ``In`` predicate pushed to the scan; a long one
-    (more than 1000 values, still a bounded user list) is broadcast into a
-    left-semi join.
-    """
+    """keep rows whose category is in the selection (a list the user gives); empty = no filter."""
     values = selection_list(selected)
     if not values:
         return df
-    if len(values) <= _LONG_SELECTION:
-        return df.where(F.col(category).cast("string").isin(values))
-    sel = df.sparkSession.createDataFrame([(v,) for v in sorted(set(values))], "_sel string")
-    return df.join(F.broadcast(sel), F.col(category).cast("string") == F.col("_sel"),
-                   "left_semi")
+    return df.where(F.col(category).cast("string").isin(values))
 
 
 def year_between(df: DataFrame, year: str, year_min=None, year_max=None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitrine.operators.quantiles import exact_quantiles
+from vitrine.session import reliable_checkpoint
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
             T.DecimalType)
@@ -41,8 +42,8 @@ def describe(df: DataFrame, columns: list[str] | None = None, exact: bool = True
              accuracy: int = 10000) -> DataFrame:
     """Count, mean, sample std, min, quartiles (linear), max per numeric column.
 
-    Missing values (and NaN) are skipped.  Moments come from one aggregation
-    over all columns; exact quartiles from one bounded-state selection over
+    Missing values (and NaN) are skipped.  Moments and exact quartiles come
+    from one written copy of the values; quartiles from one bounded-state selection over
     the columns unpivoted to (column_name, value), grouped by column
     (``exact=False``: ``percentile_approx``).  Output: one row per column.
     """
@@ -52,14 +53,18 @@ def describe(df: DataFrame, columns: list[str] | None = None, exact: bool = True
         v = F.col(f"`{c}`").cast("double")
         return F.when(~F.isnan(v), v)
 
-    moments = df.agg(*[F.struct(F.count(val(c)).alias("count"), F.avg(val(c)).alias("mean"),
-                                F.stddev_samp(val(c)).alias("std"), F.min(val(c)).alias("min"),
-                                F.max(val(c)).alias("max")).alias(c) for c in cols])
-    moments = moments.unpivot([], cols, "column_name", "s").select("column_name", "s.*")
-    long = df.select(*[val(c).alias(c) for c in cols]).unpivot([], cols, "column_name", "v")
+    # One read of the source: the values by column, written, then aggregated and ranked from there.
+    long = reliable_checkpoint(
+        df.select(*[val(c).alias(c) for c in cols]).unpivot([], cols, "column_name", "v"), "describe")
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column_name string")
+    moments = long.groupBy("column_name").agg(
+        F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
+        F.min("v").alias("min"), F.max("v").alias("max"))
+    moments = names.join(moments, "column_name", "left").withColumn(
+        "count", F.coalesce("count", F.lit(0)).cast("bigint"))
     probs = [0.25, 0.5, 0.75]
     if exact:
-        q = exact_quantiles(long, "v", probs, by=["column_name"])
+        q = exact_quantiles(long, "v", probs, by=["column_name"], written=True)
         q = q.select("column_name", F.col("q0").alias("q25"), F.col("q1").alias("q50"),
                      F.col("q2").alias("q75"))
     else:

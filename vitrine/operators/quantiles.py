@@ -20,9 +20,13 @@ breaks that.  This is an exact selection in passes instead:
 4. a bracket with at most ``final_rows`` values is ranked with a window
    whose partitions are bounded by ``final_rows``.
 
-When no group has more than ``final_rows`` values (known after pass 1),
-Spark's exact ``percentile`` is itself bounded by that many entries per
-group and finishes in one aggregation.
+Every size takes this path.  The input is written once, pruned to group keys
+and value, and each pass scans that copy.
+
+The quantile between two order statistics is ``lo + (hi - lo) * frac``, and
+``lo`` where the rank is whole.  Between two equal infinities that is NaN, as
+in pandas, and so between both; between a finite value and an infinity it is
+the infinity.
 
 Every task sees bounded state whatever the skew; each pass is one scan with
 the brackets joined by group key (broadcast by AQE when small).
@@ -53,19 +57,23 @@ def _log_key(v):
 
 def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None,
                     bins: int = 4096, final_rows: int = 100_000,
-                    max_passes: int = 64) -> DataFrame:
+                    written: bool = False) -> DataFrame:
     """Per group, the linear-interpolated quantiles of ``value`` at ``probs``.
 
     ``value`` is a numeric column (NULL and NaN skipped); rows with a NULL
     group key are dropped.  Output: [by...], ``n``, ``min``, ``max``,
     ``q0``..``q{k-1}`` in the order of ``probs``.  Groups without values are
-    absent.
+    absent.  ``final_rows`` bounds the rows ranked together and does not change
+    the result.  ``written``: ``df`` already is a written table of just the keys
+    and the value.
     """
     keys = list(by or [])
     v = F.col(value).cast("double")
     data = drop_null_key(df.select(*keys, v.alias("_v")), *keys)
     data = data.where(F.col("_v").isNotNull() & ~F.isnan(F.col("_v")))
     gk = keys or ["_all"]
+    if not written:
+        data = reliable_checkpoint(data, "quantile-input")
     if not keys:
         data = data.withColumn("_all", F.lit(0))
 
@@ -74,17 +82,6 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str]
         F.count(F.lit(1)).alias("_bc"), F.min("_v").alias("_bmin"), F.max("_v").alias("_bmax")))
     stats = _cache(lh.groupBy(*gk).agg(F.sum("_bc").alias("_n"), F.min("_bmin").alias("_min"),
                                        F.max("_bmax").alias("_max")))
-    # Every group has at most final_rows values: Spark's exact percentile keeps
-    # at most that many entries per group, so one aggregation finishes.
-    largest = stats.agg(F.max("_n")).first()[0]
-    if largest is None or largest <= final_rows:
-        pq = data.groupBy(*gk).agg(
-            F.percentile(F.col("_v"), F.array(*[F.lit(float(p)) for p in probs])).alias("_q"))
-        out = stats.join(pq, on=gk, how="inner")
-        return out.select(*keys, F.col("_n").alias("n"), F.col("_min").alias("min"),
-                          F.col("_max").alias("max"),
-                          *[F.col("_q")[i].alias(f"q{i}") for i in range(len(probs))])
-
     cw = (Window.partitionBy(*gk).orderBy("_key")
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     lh = lh.withColumn("_cum", F.sum("_bc").over(cw))
@@ -107,7 +104,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str]
 
     bracket = [*gk, "_lo", "_hi"]
     width_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    for npass in range(max_passes):
+    npass = 0
+    while True:  # each pass narrows every open bracket to one bin: a handful for doubles
         # One small job decides what this pass has to do.
         todo = targets.agg(
             F.count(F.when(F.col("_val").isNull() & (F.col("_cnt") <= final_rows), 1)),
@@ -165,8 +163,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str]
         targets = (reliable_checkpoint(nxt, "quantile-targets") if npass % 4 == 3
                    else _cache(nxt))
         old.unpersist()
-    else:
-        raise RuntimeError("exact_quantiles did not converge")
+        npass += 1
 
     # Linear interpolation between the two order statistics of each prob, in
     # one aggregation: per prob the lower (min_by rank) and upper (max_by rank).
@@ -181,7 +178,9 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str]
     for i in range(len(probs)):
         lo_v, hi_v, pos_i = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_pos{i}")
         frac = pos_i - F.floor(pos_i)
-        qs.append(F.when(frac == 0, lo_v).otherwise(lo_v + (hi_v - lo_v) * frac).alias(f"q{i}"))
+        below = (lo_v == F.lit(float("-inf"))) & (F.abs(hi_v) != F.lit(float("inf")))
+        qs.append(F.when((frac == 0) | below, lo_v).otherwise(lo_v + (hi_v - lo_v) * frac)
+                  .alias(f"q{i}"))
     out = stats.join(per, on=gk, how="inner")
     return out.select(*keys, F.col("_n").alias("n"), F.col("_min").alias("min"),
                       F.col("_max").alias("max"), *qs)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitrine.session import materialize
+from vitrine.session import materialize, reliable_checkpoint
 
 _HEX_DIGITS = 13  # 52 bits of the md5 give the uniform pre-filter value
 
@@ -63,7 +63,7 @@ def uniform_sample(df: DataFrame, n: int, keys: list[str], seed: int = 1,
     A plain ``orderBy(rank).limit(n)`` would merge every partition's top n in
     one task (partitions x n rows).  Instead rows whose rank falls below
     ``(1.2 n + 64) / rows`` of the hash range are kept first (about 1.2 n
-    rows, cached), widened 4x if that comes up short, and the top n is
+    rows, written), widened 4x if that comes up short, and the top n is
     taken from those.  ``total`` (the row count) may be passed to save a pass.
     """
     if n <= 0:
@@ -75,10 +75,9 @@ def uniform_sample(df: DataFrame, n: int, keys: list[str], seed: int = 1,
     ranked = df.withColumn("_rk", rank_key(keys, seed)).withColumn("_u", _unit(F.col("_rk")))
     frac = min(1.0, (n * oversample + slack) / total)
     while True:
-        cand = materialize(ranked.where(F.col("_u") < F.lit(frac)))
+        cand = reliable_checkpoint(ranked.where(F.col("_u") < F.lit(frac)), "sample")
         if frac >= 1.0 or cand.count() >= n:
             break
-        cand.unpersist()
         frac = min(1.0, max(frac, 1.0 / total) * 4.0)
     return cand.orderBy(*_order_columns(df)).limit(int(n)).select(*cols)
 
@@ -110,11 +109,10 @@ def stratum_quotas(df: DataFrame, by: str, n: int,
                           F.floor(exact).cast("bigint").alias("_base"))
     remainder = n - (shares.agg(F.sum("_base")).first()[0] or 0)
     if remainder > 0:
-        # At most `remainder` (< n) rows: a bounded top-r, safe to broadcast.
         plus = (shares.select(by, (F.col("_exact") - F.col("_base")).alias("_frac"))
                 .orderBy(F.col("_frac").desc(), F.col(by).asc()).limit(int(remainder))
                 .select(by, F.lit(1).alias("_plus")))
-        shares = shares.join(F.broadcast(plus), by, "left")
+        shares = shares.join(plus, by, "left")
     else:
         shares = shares.withColumn("_plus", F.lit(0))
     quota = F.least(F.col("_base") + F.coalesce(F.col("_plus"), F.lit(0)), F.col("_size"))
@@ -141,7 +139,7 @@ def stratified_sample(df: DataFrame, by: str, n: int, keys: list[str], seed: int
     ranked = (df.join(quotas, on=by, how="inner")
               .withColumn("_rk", rk).withColumn("_u", _unit(F.col("_rk"))))
     frac = F.least(F.lit(1.0), (F.col("_quota") * oversample + slack) / F.col("_size"))
-    cand = materialize(ranked.where(F.col("_u") < frac))
+    cand = reliable_checkpoint(ranked.where(F.col("_u") < frac), "sample")
     factor = 1.0
     while True:
         short = (cand.groupBy(by).agg(F.count(F.lit(1)).alias("_got"))
@@ -154,7 +152,7 @@ def stratified_sample(df: DataFrame, by: str, n: int, keys: list[str], seed: int
         short_keys = [r[0] for r in short]
         wider = F.least(F.lit(1.0), frac * factor)
         redo = ranked.where(F.col(by).isin(short_keys) & (F.col("_u") < wider))
-        cand = materialize(cand.where(~F.col(by).isin(short_keys)).unionByName(redo))
+        cand = reliable_checkpoint(cand.where(~F.col(by).isin(short_keys)).unionByName(redo), "sample")
     w = Window.partitionBy(by).orderBy(*_order_columns(df))
     return (cand.withColumn("_n", F.row_number().over(w))
             .where(F.col("_n") <= F.col("_quota")).select(*cols))

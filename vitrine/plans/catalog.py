@@ -151,6 +151,12 @@ def titles_owner_means_by_genre(spark, sf):
     return _round_doubles(g)
 
 
+@register("titles_mean_owners_by_genre", ORACLES["titles_owner_means_by_genre"])
+def titles_mean_owners_by_genre(spark, sf):
+    """A1 asked for the owner-range column answers with A2."""
+    return _round_doubles(A.mean_by_category(titles(spark, sf), "main_genre", "estimated_owners", 10))
+
+
 # ============================================================== A3, A4
 @register("orders_per_year_by_priority", f"""
 SELECT CAST(year(o_orderdate) AS INTEGER) AS o_year, o_orderpriority, count(*) AS count
@@ -720,15 +726,18 @@ SELECT appid, name, release_date,
        CASE WHEN price = 'NaN' THEN NULL ELSE price END AS price,
        genres, tags, estimated_owners, positive,
        round(average_playtime_forever, 4) AS average_playtime_forever,
-       round(peak_ccu, 4) AS peak_ccu, short_description
+       round(peak_ccu, 4) AS peak_ccu, '  ' || short_description || ' ' AS short_description
 FROM titles_raw
 """))
 def csv_roundtrip_titles(spark, sf):
     """S3 then S1: the raw catalogue written as CSV (quotes, commas, newlines)
     and read back with pandas' missing-value tokens and whole-column type
     inference (appid, positive -> BIGINT; playtime, peak -> DOUBLE; the
-    price column keeps text because of ``1d`` cells)."""
-    path = CSV.write_csv(titles_raw_table(spark, sf), scratch_path(spark, "titles-csv"))
+    price column keeps text because of ``1d`` cells).  Descriptions have blanks
+    at their edges, which stay."""
+    padded = F.concat(F.lit("  "), F.col("short_description"), F.lit(" "))
+    raw = titles_raw_table(spark, sf).withColumn("short_description", padded)
+    path = CSV.write_csv(raw, scratch_path(spark, "titles-csv"))
     back = CSV.infer_types(CSV.read_csv(spark, path))
     return _round_doubles(back)
 
@@ -744,41 +753,49 @@ SNAPSHOT_B_COLUMNS = ["AppID", "name", "release_date", "price", "genres", "estim
 def write_snapshots(spark, sf) -> tuple[str, str]:
     """Two overlapping CSV snapshots of the catalogue (fixture input for M1).
 
-    A holds titles whose name sorts before "m" and has a ``discount``; B holds
-    names from "f" on, names the key ``AppID``, has no discount and prices one
-    higher.  Together they cover every title; names in ["f", "m") are in both.
+    A holds titles whose name sorts before "m" or is missing and has a
+    ``discount``; B holds names from "f" on, names the key ``AppID``, has no
+    discount and prices one higher.  Together they cover every title; names in
+    ["f", "m") are in both.  Each is several part files, and every fifth title
+    comes again in a later file of its snapshot, at price -1: the first counts.
     """
     raw = titles_raw_table(spark, sf)
-    a = raw.where(F.col("name") < "m").withColumn(
+    a = raw.where((F.col("name") < "m") | F.col("name").isNull()).withColumn(
         "discount", (F.col("appid") % 7).cast("string"))
     numeric = ~F.col("price").isin("NaN", "1d")
     b = (raw.where(F.col("name") >= "f")
          .withColumn("price", F.when(numeric, (F.col("price").cast("double") + F.lit(1.0))
                                      .cast("string")).otherwise(F.col("price")))
          .withColumnRenamed("appid", "AppID"))
-    pa = CSV.write_csv(a.select(*SNAPSHOT_A_COLUMNS).coalesce(1), scratch_path(spark, "snap-a"))
-    pb = CSV.write_csv(b.select(*SNAPSHOT_B_COLUMNS).coalesce(1), scratch_path(spark, "snap-b"))
-    return pa, pb
+
+    def written(rows, key, columns, name):
+        again = rows.where(F.col(key) % 5 == 0).withColumn("price", F.lit("-1"))
+        # A union keeps its parts in order, so the repeats are in the later files.
+        both = rows.select(*columns).repartition(3, key).unionByName(again.select(*columns).repartition(2, key))
+        return CSV.write_csv(both, scratch_path(spark, name))
+
+    return (written(a, "appid", SNAPSHOT_A_COLUMNS, "snap-a"),
+            written(b, "AppID", SNAPSHOT_B_COLUMNS, "snap-b"))
 
 
 @register("csv_imposed_names", with_titles("""
-SELECT CAST(appid AS VARCHAR) AS AppID, name, price FROM titles_raw WHERE name >= 'f'
-""", price_offset=1.0).replace("THEN 'NaN'", "THEN NULL"))
+SELECT CAST(appid AS VARCHAR) AS AppID, name, price FROM titles_raw
+""").replace("THEN 'NaN'", "THEN NULL"))
 def csv_imposed_names(spark, sf):
-    """CSV read with names imposed by position (header line skipped)."""
-    _, pb = write_snapshots(spark, sf)
-    b = CSV.read_csv(spark, pb, names=SNAPSHOT_B_COLUMNS)
-    return b.select("AppID", "name", "price")
+    """The whole catalogue as CSV files, read with names imposed by position (header line skipped)."""
+    raw = titles_raw_table(spark, sf).withColumnRenamed("appid", "AppID").select(*SNAPSHOT_B_COLUMNS)
+    path = CSV.write_csv(raw.repartition(3, "AppID"), scratch_path(spark, "imposed"))
+    return CSV.read_csv(spark, path, names=SNAPSHOT_B_COLUMNS).select("AppID", "name", "price")
 
 
 @register("merged_snapshot_csv", with_titles("""
 , b AS (SELECT appid, price FROM titles_raw)
 SELECT r.appid, r.name,
-       CASE WHEN r.name < 'm' THEN
+       CASE WHEN r.name < 'm' OR r.name IS NULL THEN
               CASE WHEN r.price = 'NaN' THEN NULL ELSE r.price END
             ELSE CASE WHEN r.appid % 19 = 0 THEN NULL WHEN r.appid % 19 = 1 THEN '1d'
                       ELSE CAST(p.p_retailprice + 1.0 AS VARCHAR) END END AS price,
-       CASE WHEN r.name < 'm' THEN CAST(r.appid % 7 AS VARCHAR) ELSE '0' END AS discount,
+       CASE WHEN r.name < 'm' OR r.name IS NULL THEN CAST(r.appid % 7 AS VARCHAR) ELSE '0' END AS discount,
        r.genres, r.estimated_owners, r.release_date
 FROM titles_raw r JOIN part p ON p.p_partkey = r.appid
 """))
@@ -802,7 +819,7 @@ def merged_snapshot_csv(spark, sf):
 
 @register("customer_keep_first", """
 WITH a AS (SELECT c_custkey, c_name, c_acctbal, c_mktsegment, 0 AS pr FROM customer
-           WHERE c_acctbal < 5000),
+           WHERE c_acctbal < 5000 OR c_acctbal IS NULL),
 b AS (SELECT c_custkey, c_name, c_acctbal + 1 AS c_acctbal, c_mktsegment, 1 AS pr FROM customer
       WHERE c_acctbal >= 2000),
 u AS (SELECT * FROM a UNION ALL SELECT * FROM b),
@@ -817,7 +834,8 @@ def customer_keep_first(spark, sf):
     together cover every customer; balances in [2000, 5000) are in both.
     """
     c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
-    a = c.where(F.col("c_acctbal") < 5000).withColumn("priority", F.lit(0))
+    a = (c.where((F.col("c_acctbal") < 5000) | F.col("c_acctbal").isNull())
+         .withColumn("priority", F.lit(0)))
     b = (c.where(F.col("c_acctbal") >= 2000)
          .withColumn("c_acctbal", F.col("c_acctbal") + 1).withColumn("priority", F.lit(1)))
     kept = M.keep_first(M.union_all(a, b), "c_custkey", ["priority"])

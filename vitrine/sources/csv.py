@@ -18,7 +18,9 @@ from vitrine.functions.text import null_if_na_token
 
 _READ_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"',
                  "mode": "PERMISSIVE"}
-_WRITE_OPTIONS = {"header": "true", "escape": '"', "quote": '"'}
+# Blanks at the edges of cells are part of the text.
+_WRITE_OPTIONS = {"header": "true", "escape": '"', "quote": '"',
+                  "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 def _header(spark: SparkSession, path: str, multiline: bool = True) -> list[str]:
@@ -68,7 +70,8 @@ def infer_types(df: DataFrame) -> DataFrame:
     cells and those that look like integers, floats or booleans; then each
     column is cast: all integers and no missing value -> BIGINT; integers
     with missing values, or all floats -> DOUBLE; all True/False and no
-    missing value -> BOOLEAN; no value at all -> DOUBLE; else STRING.
+    missing value -> BOOLEAN; no value at all -> DOUBLE; else STRING, also
+    for whole numbers of which one is beyond BIGINT.
     Non-text columns are kept.
     """
     text = [c for c, t in df.dtypes if t == "string"]
@@ -79,6 +82,7 @@ def infer_types(df: DataFrame) -> DataFrame:
         v = F.col(f"`{c}`")
         aggs += [F.count(v).alias(f"n{i}"),
                  F.count(F.when(v.rlike(_INT_RE), 1)).alias(f"i{i}"),
+                 F.count(F.when(v.rlike(_INT_RE), F.trim(v).try_cast("bigint"))).alias(f"l{i}"),
                  F.count(F.when(v.rlike(_FLOAT_RE), 1)).alias(f"f{i}"),
                  F.count(F.when(v.isin(*_TRUE_TOKENS, *_FALSE_TOKENS), 1)).alias(f"b{i}")]
     st = df.agg(*aggs).first()
@@ -89,7 +93,8 @@ def infer_types(df: DataFrame) -> DataFrame:
         if n == 0:
             kinds[c] = "double"
         elif ni == n:
-            kinds[c] = "bigint" if n == rows else "double"
+            if st[f"l{i}"] == n:  # a number beyond BIGINT leaves the column as text
+                kinds[c] = "bigint" if n == rows else "double"
         elif nf == n:
             kinds[c] = "double"
         elif nb == n and n == rows:

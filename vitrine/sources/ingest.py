@@ -1,7 +1,7 @@
 """Typed ingest of the catalogue table (S5): text columns -> derived columns.
 
 A source column that is absent gives an all-NULL derived column.  The
-result can be written once as Parquet (``write_table``) so that later
+result can be written once as Parquet (``session.reliable_checkpoint`` or a table of your own) so that later
 queries read only the columns they touch.
 """
 
@@ -41,9 +41,3 @@ def ingest_catalogue(raw: DataFrame, genres: str = "genres", release_date: str =
         df = (df.withColumn("owners_low", r["low"]).withColumn("owners_high", r["high"])
               .withColumn("owners_mid", r["mid"]))
     return df
-
-
-def write_table(df: DataFrame, path: str) -> DataFrame:
-    """Write a table as Parquet and return a scan of it (cuts lineage)."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
