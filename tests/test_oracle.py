@@ -7,10 +7,11 @@ import pytest
 from conftest import SF_SMALL
 
 import __spark_entry__ as E
+from vitrine.plans import catalog
 from vitrine.plans.fixtures import TABLES
 
-QUERIES = E.queries()
-ORACLES = E.oracle_sql()
+QUERIES = catalog.queries()
+ORACLES = catalog.oracle_sql()
 
 
 @pytest.fixture(scope="module")

@@ -11,7 +11,7 @@ Sub-packages:
 * ``sources``    CSV / JSON readers and writers, the typed ingest job
 * ``plans``      fixture views over the driver tables and the registered
   queries with their SQL oracles
-* ``streaming``  intentionally empty: the reference has no streaming
+* ``llm``        training-data operators; optional, nothing else imports it
 """
 
 from vitrine.session import build_session, scratch_path
