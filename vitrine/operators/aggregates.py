@@ -25,6 +25,25 @@ def _numeric(df: DataFrame, y: str):
     return to_number_typed(df, y)
 
 
+def summed_by_key(fact: DataFrame, key: str, *ys: str) -> DataFrame:
+    """Sum and number of values of each Y per join key, for means over a joined dimension.
+
+    A mean per category of a dimension needs only these, so a large fact table is
+    reduced to its keys before the join instead of being shuffled row by row.
+    """
+    aggs = [a for y in ys for a in (F.sum(_numeric(fact, y)).alias(f"{y}__sum"),
+                                    F.count(_numeric(fact, y)).alias(f"{y}__count"))]
+    return fact.groupBy(key).agg(*aggs)
+
+
+def _mean(df: DataFrame, y: str):
+    """Mean of Y, from its sums if ``df`` carries those (see ``summed_by_key``)."""
+    if f"{y}__sum" not in df.columns:
+        return F.avg(_numeric(df, y))
+    n = F.sum(f"{y}__count")
+    return F.when(n > 0, F.sum(f"{y}__sum") / n)
+
+
 # ---------------------------------------------------------------- L1, A11
 def top_k(df: DataFrame, value: str, k: int, key: str, ascending: bool = False,
           nulls_last: bool = True) -> DataFrame:
@@ -65,9 +84,8 @@ def mean_by_category(df: DataFrame, category: str, y: str, top_n: int = 15,
     if y == OWNERS:
         return owner_means_by_category(df, category, y, top_n, selected)
     data = in_categories(df, category, selected)
-    data = drop_null_key(data, category).select(
-        F.col(category), _numeric(data, y).alias("_y"))
-    g = data.groupBy(category).agg(F.avg("_y").alias(y))
+    data = drop_null_key(data, category)
+    g = data.groupBy(category).agg(_mean(data, y).alias(y))
     if drop_missing_means:
         g = g.where(F.col(y).isNotNull())
     return top_k(g, y, top_n, category)
@@ -249,5 +267,5 @@ def aligned_means(df: DataFrame, category: str, a: str, b: str,
     out_a, out_b = out_a or f"mean_{a}", out_b or f"mean_{b}"
     data = drop_null_key(df, category)
     return (data.groupBy(category)
-            .agg(F.avg(_numeric(data, a)).alias(out_a), F.avg(_numeric(data, b)).alias(out_b))
+            .agg(_mean(data, a).alias(out_a), _mean(data, b).alias(out_b))
             .dropna(how="any", subset=[out_a, out_b]))

@@ -61,6 +61,13 @@ def _lineitem_part(spark, sf, *cols):
     return li.join(part, li.l_partkey == part.p_partkey).select(*cols)
 
 
+def _lineitem_sums_by_part(spark, sf, category, *ys):
+    """Sums of ``ys`` per part, with the part's category: the fact table is reduced before the join."""
+    sums = A.summed_by_key(table(spark, sf, "lineitem"), "l_partkey", *ys)
+    part = table(spark, sf, "part").select("p_partkey", category)
+    return sums.join(part, sums.l_partkey == part.p_partkey)
+
+
 def _orders_y(spark, sf):
     o = table(spark, sf, "orders")
     return o.withColumn("o_year", P.year_of("o_orderdate"))
@@ -88,7 +95,7 @@ ORDER BY avg(l_extendedprice) DESC, p_type LIMIT 10
 """)
 def mean_price_by_type(spark, sf):
     """A1 + F7 + L1: mean extended price per part type, top 10."""
-    df = _lineitem_part(spark, sf, "p_type", "l_extendedprice")
+    df = _lineitem_sums_by_part(spark, sf, "p_type", "l_extendedprice")
     g = A.mean_by_category(df, "p_type", "l_extendedprice", top_n=10)
     return g.select("p_type", r4("l_extendedprice").alias("mean_extendedprice"))
 
@@ -157,6 +164,23 @@ def titles_mean_owners_by_genre(spark, sf):
     return _round_doubles(A.mean_by_category(titles(spark, sf), "main_genre", "estimated_owners", 10))
 
 
+# Limits below the number of categories
+@register("mean_price_by_type_top3", ORACLES["mean_price_by_type"].replace("LIMIT 10", "LIMIT 3"))
+def mean_price_by_type_top3(spark, sf):
+    """A1 with a limit that leaves categories out."""
+    df = _lineitem_sums_by_part(spark, sf, "p_type", "l_extendedprice")
+    g = A.mean_by_category(df, "p_type", "l_extendedprice", top_n=3)
+    return g.select("p_type", r4("l_extendedprice").alias("mean_extendedprice"))
+
+
+@register("titles_owner_means_top3",
+          ORACLES["titles_owner_means_by_genre"].replace("LIMIT 10", "LIMIT 3"))
+def titles_owner_means_top3(spark, sf):
+    """A2 with a limit that leaves categories out."""
+    return _round_doubles(
+        A.owner_means_by_category(titles(spark, sf), "main_genre", "estimated_owners", 3))
+
+
 # ============================================================== A3, A4
 @register("orders_per_year_by_priority", f"""
 SELECT CAST(year(o_orderdate) AS INTEGER) AS o_year, o_orderpriority, count(*) AS count
@@ -310,7 +334,7 @@ ORDER BY avg(l_discount) DESC NULLS LAST, p_brand LIMIT 15
 """)
 def mean_discount_by_brand_nulls_last(spark, sf):
     """A5: older variant, missing means kept (sorted last), N = 15."""
-    df = _lineitem_part(spark, sf, "p_brand", "l_discount")
+    df = _lineitem_sums_by_part(spark, sf, "p_brand", "l_discount")
     return _round_doubles(A.mean_by_category(df, "p_brand", "l_discount", 15,
                                              drop_missing_means=False))
 
@@ -322,7 +346,7 @@ ORDER BY avg(l_quantity) DESC NULLS LAST, p_brand LIMIT 15
 """)
 def mean_quantity_by_brand_top15(spark, sf):
     """Notebook mean per category, top 15 (NULL categories removed first)."""
-    df = _lineitem_part(spark, sf, "p_brand", "l_quantity")
+    df = _lineitem_sums_by_part(spark, sf, "p_brand", "l_quantity")
     return _round_doubles(A.mean_by_category(df, "p_brand", "l_quantity", 15,
                                              drop_missing_means=False))
 
@@ -652,7 +676,7 @@ HAVING avg(l_quantity) IS NOT NULL AND avg(l_extendedprice) IS NOT NULL
 """)
 def aligned_means_by_type(spark, sf):
     """Per-type mean quantity aligned with mean price."""
-    df = _lineitem_part(spark, sf, "p_type", "l_quantity", "l_extendedprice")
+    df = _lineitem_sums_by_part(spark, sf, "p_type", "l_quantity", "l_extendedprice")
     return _round_doubles(A.aligned_means(df, "p_type", "l_quantity", "l_extendedprice",
                                           "mean_quantity", "mean_price"))
 
