@@ -1,6 +1,6 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraphs.
 
-A text's paragraphs (lines, cut at sentence ends) are hashed to 64-bit digests.
+A text's paragraphs (lines, cut at about every other sentence end) are hashed to 64-bit digests.
 A sketch is a number of blocks of 32 cells; a digest adds itself to one cell in
 each of a block's three parts.  A cell holds a count, the xor of its digests and the
 xor of their check values.  Two versions' sketches subtract cell by cell, which
@@ -27,8 +27,12 @@ _ROUNDS = 16
 
 
 def digests(text: Column) -> Column:
-    """Distinct paragraph digests: lines, cut after sentence ends, without blanks around."""
-    cut = F.split(text, r"\n+|(?<=[.!?])[ \t]+")
+    """Distinct paragraph digests, without blanks around.
+
+    Lines are cut after sentence ends unless the next sentence begins with N to Z:
+    paragraphs of about two sentences whose cuts depend on the text there alone.
+    """
+    cut = F.split(text, r"\n+|(?<=[.!?])[ \t]+(?![N-Z \t])")
     trimmed = F.transform(cut, lambda p: F.trim(p))
     return F.array_distinct(F.transform(F.filter(trimmed, lambda p: p != ""), lambda p: F.xxhash64(p)))
 
@@ -47,13 +51,13 @@ def _entry(key: Column, sign: Column) -> Column:
     return F.struct(sign.alias("n"), key.alias("key"), _check(key).alias("chk"), *cells)
 
 
-def entries(keys: Column) -> Column:
-    return F.transform(keys, lambda d: _entry(d, F.lit(1)))
+def entries(keys: Column, sign: int = 1) -> Column:
+    return F.transform(keys, lambda d: _entry(d, F.lit(sign)))
 
 
 def _plus(x: Column, e: Column, times: int = 1) -> Column:
     return F.struct(
-        (x["n"] + e["n"] * times).alias("n"),
+        (x["n"] + (e["n"] if times == 1 else -e["n"])).alias("n"),
         x["key"].bitwiseXOR(e["key"]).alias("key"),
         x["chk"].bitwiseXOR(e["chk"]).alias("chk"),
     )
@@ -121,21 +125,26 @@ def _subtracted(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: _plus(x, y, -1))
 
 
-def differing(a: Column, b: Column, first: Column, keys_a: Column, keys_b: Column) -> Column:
-    """Digests in one of two versions only.  ``first`` is the difference of their one-block sketches,
-    ``a`` and ``b`` their entries for the retries, ``keys_a`` and ``keys_b`` the digests."""
+def differing(both: Column, first: Column, keys_a: Column, keys_b: Column) -> Column:
+    """Digests in one of two versions only.
+
+    ``first`` is the difference of their one-block sketches.  For the retries ``both``
+    has the entries of one version and, negative, those of the other, so a larger
+    sketch's cells come subtracted.  ``keys_a`` and ``keys_b`` are the digests.
+    """
 
     def attempt(blocks: Column) -> Column:
         def one(total: Column, k: Column) -> Column:
-            of = lambda es: _once(F.filter(es, lambda e: F.pmod(e["key"], blocks) == k), block)
-            return F.when(total.isNotNull(), total + peeled(_subtracted(of(a), of(b))))
+            members = F.filter(both, lambda e: F.pmod(e["key"], blocks) == k)
+            return F.when(total.isNotNull(), total + peeled(_once(members, block)))
 
         return F.aggregate(F.sequence(F.lit(0), blocks - 1), F.lit(0), one)
 
+    # Every digest is in three cells, so at least this many differ; 20 in a block never peel.
+    least = F.aggregate(first, F.lit(0), lambda s, x: s + F.abs(x["n"])) / F.lit(3)
+    sizes = _once(least, lambda d: F.filter(F.array(*map(F.lit, LADDER)), lambda n: n * 20 >= d))
+    larger = F.aggregate(sizes, F.lit(None).cast("int"), lambda done, n: F.coalesce(done, attempt(n)))
     exact = F.size(F.array_except(keys_a, keys_b)) + F.size(F.array_except(keys_b, keys_a))
-    larger = F.aggregate(
-        F.array(*map(F.lit, LADDER)), F.lit(None).cast("int"), lambda done, n: F.coalesce(done, attempt(n))
-    )
     return F.coalesce(peeled(first), larger, exact)
 
 
@@ -218,15 +227,16 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
         F.col("head.keys").alias("keys_n"),
     )
     keyed = both.withColumn("keys", digests(F.col("text"))).withColumn("keys_e", digests(F.col("edited")))
-    entered = keyed.select(
-        "*", *[entries(F.col(k)).alias(f"in_{k}") for k in ("keys", "keys_e", "keys_n")]
+    entered = keyed.select("*", *[entries(F.col(k)).alias(f"in_{k}") for k in ("keys", "keys_e", "keys_n")])
+    sketched = entered.select(
+        "*",
+        *[block(F.col(f"in_{k}")).alias(f"of_{k}") for k in ("keys", "keys_e", "keys_n")],
+        *[F.concat("in_keys", entries(F.col(k), -1)).alias(f"both_{k}") for k in ("keys_e", "keys_n")],
     )
-    sketched = entered.select("*", *[block(F.col(f"in_{k}")).alias(f"of_{k}") for k in ("keys", "keys_e", "keys_n")])
 
     def near(other: str) -> Column:
         first = _subtracted(F.col("of_keys"), F.col(f"of_{other}"))
-        differ = differing(F.col("in_keys"), F.col(f"in_{other}"), first, F.col("keys"), F.col(other))
-        return likeness(F.col("keys"), F.col(other), differ)
+        return likeness(F.col("keys"), F.col(other), differing(F.col(f"both_{other}"), first, F.col("keys"), F.col(other)))
 
     return sketched.select(
         "doc_id",
