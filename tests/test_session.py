@@ -1,8 +1,10 @@
 """Scratch tables go below the session's checkpoint directory."""
 
+import os
+
 import pytest
 
-from vitrine.session import checkpoint_root, reliable_checkpoint, scratch_path
+from vitrine.session import checkpoint_root, clear_scratch, reliable_checkpoint, scratch_path
 
 
 class _Conf(dict):
@@ -44,6 +46,16 @@ def test_private_root_only_when_unset():
     assert scratch_path(s, "x") != scratch_path(s, "x")
 
 
+def test_clear_scratch_removes_what_a_query_wrote(spark):
+    from vitrine import session
+    before = len(session._SCRATCH)
+    kept = reliable_checkpoint(spark.range(3), "kept")
+    mark = len(session._SCRATCH)
+    gone = reliable_checkpoint(spark.range(3), "gone").inputFiles()[0]
+    assert clear_scratch(spark, mark) == before + 1
+    assert kept.count() == 3 and not os.path.exists(gone.removeprefix("file://"))
+
+
 def test_reliable_checkpoint_round_trip(spark):
     back = reliable_checkpoint(spark.range(5), "t")
     assert back.count() == 5

@@ -90,9 +90,29 @@ def checkpoint_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+_SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path below the shared checkpoint directory."""
-    return f"{checkpoint_root(spark)}/vitrine/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_root(spark)}/vitrine/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession, since: int = 0) -> int:
+    """Delete the scratch tables written from number ``since`` on; returns how many there are left.
+
+    Call it when their results have been consumed: a long-running session would keep
+    a copy for every query otherwise.  ``clear_scratch(spark, len_before)`` after a
+    query removes just that query's tables and leaves shared ones.
+    """
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _SCRATCH[since:]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    del _SCRATCH[since:]
+    return len(_SCRATCH)
 
 
 def materialize(df):
