@@ -1,10 +1,9 @@
 """SimHash near-duplicates by pigeonhole blocks.
 
-A 64-bit fingerprint is cut into eight byte blocks.
-Two fingerprints that differ in at most two bits agree on at least six of the
-eight blocks, so they meet under one of the 28 keys that leave two blocks out.
-Under a key only 16 bits are free: a key has at most 65,536 distinct
-fingerprints, and partners within distance are found by looking up the 136
+A 64-bit fingerprint is cut into eight byte blocks.  Two fingerprints that differ
+in at most two bits agree on at least six of them, so they meet under one of the
+28 keys that leave two blocks out.  Under a key only 16 bits are free: a key has
+at most 65,536 distinct fingerprints, and partners within distance are found by looking up the 136
 masks of one or two bits, never by pairing all members.  Fingerprints, not
 rows, are linked; copies share one fingerprint from the start.
 """
@@ -76,7 +75,7 @@ def _close_in_buckets(bucket: np.ndarray, free: np.ndarray, masks: np.ndarray) -
     keys = bucket.astype(np.int64) << 16 | free
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
-    left, right = [], []
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for m in masks:
         want = keys ^ m
         at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
