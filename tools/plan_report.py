@@ -18,7 +18,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as E  # noqa: E402
+from vitrine.plans import catalog as E  # noqa: E402
 from vitrine.session import build_session  # noqa: E402
 
 NODES = {
