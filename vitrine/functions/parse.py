@@ -74,11 +74,11 @@ def primary_category(c) -> Column:
 
 
 # -------------------------------------------------------------------- D14
-def genre_list(c) -> Column:
+def genre_list(c, all_genres: bool = False) -> Column:
     """Notebook ``genre_list`` followed by ``explode``: ARRAY<STRING> per cell.
 
-    A non-empty list gives its first element only; tuples, sets and dicts
-    (keys) are exploded whole; scalars pass through; empty list-likes, NULL
+    A non-empty list gives its first element only, or every element with
+    ``all_genres``; tuples, sets and dicts (keys) are exploded whole; scalars pass through; empty list-likes, NULL
     and unparseable text give an empty array.  Explode the result to get
     one row per value.
     """
@@ -91,11 +91,12 @@ def genre_list(c) -> Column:
     empty = F.array().cast("array<string>")
     return (
         F.when(c.isNull(), empty)
-        .when(is_list, F.slice(quoted_items(c), 1, 1))
+        .when(is_list, quoted_items(c) if all_genres else F.slice(quoted_items(c), 1, 1))
         .when(is_str, F.array(unquote(F.regexp_extract(c, QUOTED_ITEM_RE, 1))))
         .when(is_empty, empty)
         .when(is_dict, F.array_distinct(quoted_items(c)))
-        .when(residue, literals.genre_list_udf(F.when(residue, c)))
+        .when(residue, (literals.all_genres_udf if all_genres else literals.genre_list_udf)(
+            F.when(residue, c)))
         .otherwise(empty)
     )
 

@@ -709,6 +709,18 @@ def titles_genre_list(spark, sf):
                           "genre_list")
 
 
+@register("titles_all_genres", with_titles("""
+SELECT appid, tuple_or_list_first AS genre_list FROM titles_truth
+WHERE tuple_or_list_first IS NOT NULL
+UNION ALL SELECT CAST(p_partkey AS BIGINT), p_brand FROM part WHERE p_partkey % 11 >= 4
+"""))
+def titles_all_genres(spark, sf):
+    """D14 with ``all_genres`` + R5: every element of a list, one row each."""
+    t = titles_raw_table(spark, sf)
+    values = P.genre_list("genres", all_genres=True)
+    return R.explode_list(t.select("appid", values.alias("genre_list")), "genre_list")
+
+
 @register("titles_owner_range_prefix", with_titles("""
 SELECT appid,
   CASE WHEN appid % 13 IN (0, 1) THEN NULL WHEN appid % 13 = 2 THEN owners_low
