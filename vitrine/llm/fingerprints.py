@@ -198,13 +198,14 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
 
     The edited text has the last quarter of the code points (rounded down) replaced by
     the first as many of the next document by doc_id, the first's after the last.
-    NULL text counts as empty, a NULL doc_id as the smallest.  Rows that repeat a
+    NULL text counts as empty, a NULL doc_id as the smallest (the smallest long itself
+    is shown as NULL).  Rows that repeat a
     doc_id share the next document; of rows that repeat the next doc_id the smallest
     opening counts.  An only document is its own next.
     """
-    base = docs.select(
-        F.coalesce("doc_id", F.lit(-(2**63))).alias("k"), "doc_id", F.coalesce("text", F.lit("")).alias("text")
-    )
+    # Both joins below shuffle exactly these columns by k, so Spark shuffles the texts once.
+    no_id = F.lit(-(2**63))
+    base = docs.select(F.coalesce("doc_id", no_id).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
     quarter = F.floor(F.length("text") / 4).cast("int")
     ids = base.groupBy("k").agg(F.max(quarter).alias("quarter"))
     wanted = reliable_checkpoint(following(ids), "wanted").select(
@@ -220,7 +221,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
         .agg(F.min("head").alias("head"))
     )
     both = base.join(heads, F.col("k") == F.col("prev_k")).select(
-        "doc_id",
+        F.when(F.col("k") != no_id, F.col("k")).alias("doc_id"),
         "text",
         F.length("text").cast("long").alias("n_chars"),
         F.expr("concat(left(text, length(text) - cast(floor(length(text) / 4) as int)), left(head.text, cast(floor(length(text) / 4) as int)))").alias("edited"),
