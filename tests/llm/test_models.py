@@ -107,6 +107,14 @@ def test_toxicity_odd_rows(spark, odd, none):
 # quality
 
 
+def test_long_words_count_whole():
+    word = "A" * 2_000 + "b" * 8_000
+    _, stats = quality.describe(word, quality.Shapes())
+    assert stats[0] == 0.2 and stats[6] == 1.0 and stats[5] == 10_000
+    _, stats = quality.describe(f"{'#' * 3_000}{'x' * 6_000} Ab {'c' * 1_023}", quality.Shapes())
+    assert stats[0] == 1 / 7_025 and stats[1] == 3_000 / 10_025 and stats[6] == 7_025 / 10_025
+
+
 def test_quality_against_labels_it_never_sees(spark):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     rows = queries()["op1_quality"](spark, "/root/testdata/sf0.1").join(labels, "doc_id").collect()

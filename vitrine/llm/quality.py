@@ -32,12 +32,21 @@ LABELLERS = (
 _FEW = 12
 
 
-def _shape(word: str) -> int:
-    """Descriptor of a word, packed: hash (16 bits), letters (10), capitals (10), symbols (10), characters (12)."""
+#: Longest word whose counts all fit the packed descriptor; a longer one's are taken apart from it.
+_PACKED = 1023
+
+
+def _counts(word: str) -> tuple[int, int, int, int]:
+    """Letters, capitals, digits and symbols of a word."""
     letters = sum(map(str.isalpha, word))
-    capitals = sum(map(str.isupper, word))
     digits = sum(map(str.isdigit, word))
     symbols = len(word) - letters - digits - sum(word.count(c) for c in ".,'’;:?-()\"")
+    return letters, sum(map(str.isupper, word)), digits, symbols
+
+
+def _shape(word: str) -> int:
+    """Descriptor of a word, packed: hash (16 bits), letters (10), capitals (10), symbols (10), characters (12)."""
+    letters, capitals, digits, symbols = _counts(word)
     cased = "none" if not letters else "upper" if capitals == letters > 1 else "title" if capitals else "lower"
     core = len(word.rstrip(".,;:!?'\""))
     text = f"{cased} {min(letters, 12)} {min(digits, 4)} {min(max(symbols, 0), 4)} {word[core:][:3]}"
@@ -70,6 +79,9 @@ def describe(text: str, shapes: Shapes) -> tuple[np.ndarray, np.ndarray]:
     code = np.fromiter(map(shapes.__getitem__, words), np.int64, n)
     chars, symbols = code & 0xFFF, code >> 12 & 0x3FF
     capitals, letters = code >> 22 & 0x3FF, code >> 32 & 0x3FF
+    for i in np.flatnonzero(chars > _PACKED):
+        letters[i], capitals[i], _, found = _counts(words[i])
+        symbols[i], chars[i] = max(found, 0), len(words[i])
     lettered = np.count_nonzero(letters)
     size, alpha = int(chars.sum()), int(letters.sum())
     return code >> 42, np.array(
