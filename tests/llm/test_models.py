@@ -104,6 +104,15 @@ def test_toxicity_odd_rows(spark, odd, none):
     assert toxicity.detect(odd, labels.limit(0)).count() == 12
 
 
+def test_every_tagged_window_trains(monkeypatch):
+    docs = [[f"w{i % 7}"] * 16 + ["grobkerl" if i % 2 else "haus"] for i in range(60)]
+    seen = []
+    real = toxicity.train_chain
+    monkeypatch.setattr(toxicity, "train_chain", lambda ws, tags: seen.append(tags) or real(ws, tags, rounds=1))
+    toxicity.fit(docs, [i % 2 for i in range(60)], most_windows=10)
+    assert sum(any(t) for t in seen[0]) == 30 and 10 <= sum(not any(t) for t in seen[0]) <= 15
+
+
 # quality
 
 

@@ -181,10 +181,17 @@ def document_parts(logit: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(docs: list[list[str]], labels: list[int], window: int = 16, most_windows: int = 30_000, seed: int = 5) -> Model:
-    """Chain and calibration from tokenised documents and their labels (1 toxic, 0 not)."""
+def fit(
+    docs: list[list[str]], labels: list[int], window: int = 16, most_windows: int = 30_000, seed: int = 5, clean_windows: int = 6
+) -> Model:
+    """Chain and calibration from tokenised documents and their labels (1 toxic, 0 not).
+
+    The chain is trained on every window with a tagged token, and of the windows
+    without one on ``clean_windows`` drawn from a document and about ``most_windows`` in all.
+    """
     chosen = toxic_units(docs, labels)
     windows, tags = [], []
+    n_clean = 0
     rng = np.random.default_rng(seed)
     for i in rng.permutation(len(docs)):
         ws, toxic = docs[i], labels[i]
@@ -192,10 +199,12 @@ def fit(docs: list[list[str]], labels: list[int], window: int = 16, most_windows
         cuts = [a for a in range(0, len(ws), window)]
         keep = [a for a in cuts if any(tagged[a : a + window])]
         clean = [a for a in cuts if not any(tagged[a : a + window])]
-        keep += [clean[k] for k in rng.permutation(len(clean))[:6]]
-        if len(windows) < most_windows:
-            windows += [ws[a : a + window] for a in keep]
-            tags += [tagged[a : a + window] for a in keep]
+        drawn = [clean[k] for k in rng.permutation(len(clean))[:clean_windows]]
+        if n_clean < most_windows:
+            keep += drawn
+            n_clean += len(drawn)
+        windows += [ws[a : a + window] for a in keep]
+        tags += [tagged[a : a + window] for a in keep]
     base = float(np.clip(np.mean(labels) if labels else 0.0, 1e-3, 1 - 1e-3))
     flat = Model(np.zeros(1 << _BITS), 0.0, np.zeros((2, 2)), np.array([np.log(base / (1 - base)), 0.0, 0.0]))
     if not any(map(any, tags)):
