@@ -113,6 +113,15 @@ def test_every_tagged_window_trains(monkeypatch):
     assert sum(any(t) for t in seen[0]) == 30 and 10 <= sum(not any(t) for t in seen[0]) <= 15
 
 
+def test_sample_is_bounded_where_one_id_has_many_texts(spark, make_docs, monkeypatch):
+    docs = make_docs([(0, f"text {i}") for i in range(3_000)] + [(i, f"other {i}") for i in range(1, 31)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(31)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda ws, ys: seen.append(ws))
+    toxicity.train(docs, labels, sample_docs=100)
+    assert 100 < len(seen[0]) < 300 and sum(ws[0] == "other" for ws in seen[0]) == 30
+
+
 # quality
 
 

@@ -259,13 +259,38 @@ class Scorer:
         return score, found
 
 
+def _bounded_rows(rows: DataFrame, limit: int, seed: int = 17) -> DataFrame:
+    """Distinct rows of ``rows`` (doc_id, toxic, text; at most ``limit`` doc_ids), about ``limit`` of them at most.
+
+    Where there are more, the doc_ids with most texts keep about the same number each,
+    drawn by a hash of the whole row; the others keep all theirs.
+    """
+    if rows.select("doc_id", "toxic").count() <= limit:
+        return rows.distinct()
+    rows = rows.distinct()
+    sizes = rows.groupBy("doc_id").agg(F.count("*").alias("n")).toArrow()
+    n = np.sort(sizes["n"].to_numpy())
+    if n.sum() <= limit:
+        return rows
+    # The largest number that all ids together can keep: the smaller ones keep n, the rest share what is left.
+    shares = (limit - (np.cumsum(n) - n)) / np.arange(len(n), 0, -1)
+    most = float(max(1.0, shares[np.argmax(shares < n)]))
+    rates = [(i, most / k) for i, k in zip(sizes["doc_id"].to_pylist(), sizes["n"].to_pylist(), strict=True) if k > most]
+    rated = rows.join(rows.sparkSession.createDataFrame(rates, "doc_id long, rate double"), "doc_id", "left")
+    grain = 1 << 30
+    draw = F.pmod(F.xxhash64("doc_id", "toxic", "text", F.lit(seed)), F.lit(grain))
+    return rated.where(F.col("rate").isNull() | (draw < F.col("rate") * grain)).drop("rate")
+
+
 def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 6000) -> Model:
-    """Fit on about ``sample_docs`` rows of ``docs`` (doc_id, text) with a label in ``labels`` (doc_id, toxic)."""
-    rows = docs.select("doc_id", "text").join(
-        bounded_sample(labels.select("doc_id", "toxic").where("doc_id is not null and toxic is not null"), sample_docs),
-        "doc_id",
-    )
-    found = rows.select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text")).distinct().toArrow().sort_by(
+    """Fit on about ``sample_docs`` rows of ``docs`` (doc_id, text) with a label in ``labels`` (doc_id, toxic).
+
+    Where doc_ids repeat, at most about twice as many distinct rows go to the driver.
+    """
+    marks = bounded_sample(labels.select("doc_id", "toxic").where("doc_id is not null and toxic is not null"), sample_docs)
+    rows = docs.select("doc_id", "text").join(marks.distinct(), "doc_id")
+    rows = rows.select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text"))
+    found = _bounded_rows(rows, 2 * sample_docs).toArrow().sort_by(
         [("doc_id", "ascending"), ("toxic", "ascending"), ("text", "ascending")]
     )
     return fit([words_of(t) for t in found.column("text").to_pylist()], found.column("toxic").to_pylist())
