@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import blocknames, chat, fingerprints, langid, mixing, packing, quality, simhash, substrings, toxicity
+from vitrine.llm import blocknames, chat, fingerprints, langid, merkle, mixing, packing, quality, simhash, substrings, toxicity
 from vitrine.llm.common import table
 
 
@@ -60,6 +61,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    hit = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    leaf_rows = merkle.leaves(
+        docs, ["doc_id", "source", "lang", "n_chars", "text"], "doc_id", "lang", {"text": F.when(hit, lowered).otherwise(F.col("text"))}
+    )
+    return merkle.manifest(leaf_rows).withColumnRenamed("id", "doc_id")
+
+
 _OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
@@ -117,6 +128,55 @@ SELECT conv_id, count(*) AS n_turns,
 FROM t GROUP BY conv_id
 """
 
+# crc32 by its polynomial, a bit at a time; runs as lists, climbed leaf by leaf.
+_OP13_SQL = r"""
+WITH RECURSIVE f AS (
+  SELECT doc_id, lang,
+    list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)),
+      lambda a, b: list_reduce(list_concat([xor(a, b)], [1::UBIGINT, 2, 3, 4, 5, 6, 7, 8]),
+        lambda x, y: xor(x >> 1, 3988292384::UBIGINT * (x & 1::UBIGINT)))) AS rest,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+    text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low
+  FROM documents
+), l AS (
+  SELECT doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN xor(rest, 4294967295::UBIGINT) % 3 = 0 THEN sha256(head || coalesce(strlen(low) || ':' || low, '-')) END AS seen
+  FROM f
+), leafs AS (
+  SELECT doc_id, leaf, coalesce(seen, leaf) AS seen, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos
+  FROM l
+), runs(tree, level, nodes) AS (
+  SELECT tree, 0, list(leaf ORDER BY pos) FROM leafs GROUP BY tree
+  UNION ALL
+  SELECT tree, level + 1, list_transform(range(0, len(nodes)::BIGINT, 8), lambda i: sha256(array_to_string(nodes[i + 1 : i + 8], '')))
+  FROM runs WHERE len(nodes) > 1
+), above(level, nodes) AS (
+  SELECT 0, list(nodes[1] ORDER BY tree) FROM runs WHERE len(nodes) = 1
+  UNION ALL
+  SELECT level + 1, list_transform(range(0, len(nodes)::BIGINT, 8), lambda i: sha256(array_to_string(nodes[i + 1 : i + 8], '')))
+  FROM above WHERE len(nodes) > 1
+), climb(doc_id, leaf, tree, up, level, pos, subroot, folded, proof) AS (
+  SELECT doc_id, leaf, tree, false, 0, pos, NULL::VARCHAR, seen, '' FROM leafs
+  UNION ALL
+  SELECT c.doc_id, c.leaf, c.tree,
+    c.up OR len(n.nodes) = 1,
+    CASE WHEN len(n.nodes) = 1 THEN 0 ELSE c.level + 1 END,
+    CASE WHEN len(n.nodes) = 1 THEN c.tree ELSE c.pos // 8 END,
+    CASE WHEN len(n.nodes) = 1 AND NOT c.up THEN n.nodes[1] ELSE c.subroot END,
+    CASE WHEN len(n.nodes) = 1 THEN c.folded ELSE
+      sha256(array_to_string(n.nodes[c.pos // 8 * 8 + 1 : c.pos], '') || c.folded || array_to_string(n.nodes[c.pos + 2 : c.pos // 8 * 8 + 8], '')) END,
+    CASE WHEN len(n.nodes) = 1 THEN c.proof ELSE
+      c.proof || array_to_string(n.nodes[c.pos // 8 * 8 + 1 : c.pos], '') || array_to_string(n.nodes[c.pos + 2 : c.pos // 8 * 8 + 8], '') END
+  FROM climb c JOIN (SELECT false AS up, tree, level, nodes FROM runs UNION ALL SELECT true, NULL, level, nodes FROM above) n
+    ON n.up = c.up AND n.level = c.level AND (c.up OR n.tree = c.tree)
+  WHERE NOT (c.up AND len(n.nodes) = 1)
+)
+SELECT c.doc_id, c.leaf, c.subroot, r.root, sha256(c.proof) AS proof_sha256, c.folded AS folded_root, c.folded = r.root AS verified
+FROM climb c JOIN (SELECT level, nodes[1] AS root FROM above WHERE len(nodes) = 1) r ON c.up AND c.level = r.level
+"""
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_language_id": op2_language_id,
@@ -128,6 +188,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_chat_format": op9_chat_format,
     "op10_toxicity": op10_toxicity,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 
@@ -136,4 +197,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": _OP4_SQL, "op7_exact_dedup": _OP7_SQL, "op9_chat_format": _OP9_SQL}
+    return {"op4_mix_sources": _OP4_SQL, "op7_exact_dedup": _OP7_SQL, "op9_chat_format": _OP9_SQL, "op13_merkle_manifest": _OP13_SQL}
