@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import blocknames, chat, fingerprints, langid, merkle, mixing, packing, quality, simhash, substrings, toxicity
+from vitrine.llm import blocknames, chat, fingerprints, langid, merkle, mixing, packing, quality, simhash, substrings, toxicity, urlfilter
 from vitrine.llm.common import table
 
 
@@ -61,6 +61,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: The query's rules.
+_RULES = [
+    urlfilter.Rule("allow", "org", "/"),
+    urlfilter.Rule("block", "example.org", "/es/"),
+    urlfilter.Rule("block", "example.org", "/en/1"),
+    urlfilter.Rule("allow", "com", "/fr/"),
+    urlfilter.Rule("block", "com", "/de/"),
+]
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"), _RULES, urlfilter.train(urlfilter.labelled_urls(spark)))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     hit = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
@@ -188,6 +202,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_chat_format": op9_chat_format,
     "op10_toxicity": op10_toxicity,
+    "op12_url_filter": op12_url_filter,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
