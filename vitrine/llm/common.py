@@ -47,16 +47,19 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 4
 
 
 def bounded_sample(rows: DataFrame, limit: int, seed: int = 17) -> DataFrame:
-    """About ``limit`` rows of ``rows`` (all of them if there are fewer), by a hash of doc_id.
+    """The ``limit`` distinct rows of ``rows`` with the smallest hashes (all distinct rows if there are fewer).
 
-    The same rows on every run and under any partitioning.  Where one doc_id repeats
-    so often that its rows alone exceed twice the limit, as many of the rows are taken
-    as that: the sample is bounded whatever the ids.
+    The same rows on every run and under any partitioning; rows that are equal in all columns
+    count once.  Empty only if ``rows`` is.  Hashes are looked at from the small end, further
+    up only where copies leave too few of them.
     """
     total = rows.count()
-    if total <= limit:
-        return rows
-    grain = 1 << 30
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(grain))
-    picked = rows.where(draw < int(grain * limit / total))
-    return picked if picked.count() <= 2 * limit else picked.limit(2 * limit)
+    share = min(1.0, 2 * limit / max(total, 1))
+    h = F.xxhash64(*rows.columns, F.lit(seed))
+    while True:
+        low = h <= F.lit(min(2**63 - 1, int(share * 2.0**64) - 2**63))
+        near = rows.select(h.alias("h")).where(low).distinct().orderBy("h").limit(limit)
+        found, last = near.agg(F.count("h"), F.max("h")).first()
+        if found >= limit or share >= 1.0:
+            return rows.where(h <= F.lit(last)).distinct()
+        share = min(1.0, 16 * share)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import blocknames, chat, fingerprints, langid, merkle, mixing, packing, quality, simhash, substrings, toxicity, urlfilter
+from vitrine.llm import blocknames, chat, fingerprints, hardneg, langid, merkle, mixing, packing, quality, simhash, substrings, toxicity, urlfilter
 from vitrine.llm.common import table
 
 
@@ -61,6 +61,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.where(finite).select(
+        "vec_id", label.alias("label"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)).alias("vector")
+    )
+    return hardneg.mine(rows, F.col("vec_id") % 100 == 0)
+
+
 #: The query's rules.
 _RULES = [
     urlfilter.Rule("allow", "org", "/"),
@@ -142,6 +152,28 @@ SELECT conv_id, count(*) AS n_turns,
 FROM t GROUP BY conv_id
 """
 
+_OP11_SQL = """
+WITH r AS (
+  SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::DOUBLE) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.row AS anchor, a.vec_id AS anchor_id, b.row AS found, b.vec_id AS found_id, a.label = b.label AS same,
+    list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM r a JOIN r b ON a.vec_id % 100 = 0
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, found_id, found) AS wish FROM s WHERE same AND found <> anchor
+  QUALIFY wish <= 5
+)
+SELECT p.anchor_id, p.found_id AS positive_id,
+  row_number() OVER (PARTITION BY p.anchor, p.wish ORDER BY n.score DESC, n.found_id, n.found)::INTEGER AS rank,
+  n.found_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.anchor = p.anchor AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+QUALIFY rank <= 10
+"""
+
 # crc32 by its polynomial, a bit at a time; runs as lists, climbed leaf by leaf.
 _OP13_SQL = r"""
 WITH RECURSIVE f AS (
@@ -202,6 +234,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_chat_format": op9_chat_format,
     "op10_toxicity": op10_toxicity,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_url_filter": op12_url_filter,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
@@ -212,4 +245,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": _OP4_SQL, "op7_exact_dedup": _OP7_SQL, "op9_chat_format": _OP9_SQL, "op13_merkle_manifest": _OP13_SQL}
+    return {"op4_mix_sources": _OP4_SQL, "op7_exact_dedup": _OP7_SQL, "op9_chat_format": _OP9_SQL, "op11_hard_negatives": _OP11_SQL, "op13_merkle_manifest": _OP13_SQL}
