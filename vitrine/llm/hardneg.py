@@ -28,6 +28,8 @@ from vitrine.session import reliable_checkpoint
 _FIRST_STEP, _LAST_STEP = 64, 4096
 #: Relative room for rounding in the bounds.
 _ROOM = 1e-9
+#: Scores are longs.
+_LONG_LIMIT = 2**63 - 1
 
 
 def matrix(vectors: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
@@ -116,6 +118,8 @@ class Members:
             here = order[at : at + step]
             members, inverse = np.unique(self.owner[active], return_inverse=True)
             got = mine[members] @ vectors[here].astype(kind).T
+            if kind is object and (np.abs(got) > _LONG_LIMIT).any():
+                raise OverflowError("a score does not fit a long")
             match = self.label[members][:, None] == rows["label"][here][None, :]
             if not self.same:
                 match = ~match
@@ -148,9 +152,6 @@ class Members:
         return wish, place, score
 
 
-_LONG_LIMIT = 2**63 - 1
-
-
 def _ids(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return column.fill_null(0).to_numpy(), column.is_null().to_numpy()
 
@@ -173,8 +174,6 @@ def _met(anchors: pa.Table, rows: pa.Table, width: int, k: int, same: bool) -> p
         low, high, number = (flat.field(f).to_numpy(zero_copy_only=False) for f in ("low", "high", "wish"))
         m = Members(part["row"].to_numpy(), part["label"].to_numpy(), matrix(part["vector"], width), owner, low, high, k, same)
         wish, place, score = m.walk(table, vectors, size)
-        if len(score) and max(abs(int(score.max())), abs(int(score.min()))) > _LONG_LIMIT:
-            raise OverflowError("a score does not fit a long")
         out.append((m.row[owner[wish]], number[wish], table["row"][place], place, score))
     cols = [np.concatenate([o[c] for o in out]) if out else np.empty(0, np.int64) for c in range(5)]
     return pa.table(
@@ -276,12 +275,12 @@ def mine(
     width = rows.agg(F.max(F.size("vector"))).first()[0] or 0
     block, shard = (max(64, v // max(width, 1)) for v in (block_values, shard_values))
     by_label = F.pmod(F.xxhash64("label"), F.lit(buckets)).cast("int").alias("bucket")
-    everything = F.lit(0).alias("bucket")
+    everything = F.pmod("row", F.lit(1)).cast("int").alias("bucket")  # one bucket; not a constant, which would make a join without a key
 
     anchors = rows.where("is_anchor").select("row", "vec_id", "label", "vector")
     anchors = reliable_checkpoint(_near(anchors, width, sample_anchors, clusters), "anchors")
     wish = "array<struct<wish: long, low: long, high: long>>"
-    any_score = F.array(F.struct(F.lit(0), F.lit(-(2**62)), F.lit(2**62))).cast(wish)
+    any_score = F.array(F.struct(F.lit(0), F.lit(-_LONG_LIMIT), F.lit(_LONG_LIMIT))).cast(wish)
     found = _search(
         anchors.select(by_label, "row", "label", "vector", "near", any_score.alias("wishes")),
         rows.select(by_label, "row", "vec_id", "label", "vector"),
@@ -294,7 +293,8 @@ def mine(
 
     # Whole bounds: the least and greatest whole score within the fractions.
     p = F.col("positive_score")
-    low, high = F.expr(f"-((-positive_score * {least[0]}L) div {least[1]}L)"), F.expr(f"(positive_score * {most[0]}L) div {most[1]}L")
+    wide = "CAST(positive_score AS DECIMAL(28, 0))"  # products beyond a long
+    low, high = F.expr(f"-((-{wide} * {least[0]}) div {least[1]})"), F.expr(f"({wide} * {most[0]}) div {most[1]}")
     wishes = (
         found.where(p >= 0)  # below zero no score lies within the fractions
         .groupBy("anchor")

@@ -62,10 +62,12 @@ def grams(host: Column, path: Column, sizes: Sequence[int] = (3, 4, 5)) -> Colum
 
     A look-ahead takes the n-gram at every place in one scan, whatever the length.
     """
-    parts = []
-    for mark, text in (("h", F.concat(F.lit("^"), host, F.lit("$"))), ("p", path)):
-        text = F.regexp_replace(F.lower(text), "[0-9]", "0")
-        parts += [F.transform(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)), lambda g, m=mark: F.concat(F.lit(m), g)) for n in sizes]
+
+    def marked(mark: str, text: Column, n: int) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)), lambda g: F.concat(F.lit(mark), g))
+
+    plain = (("h", F.concat(F.lit("^"), host, F.lit("$"))), ("p", path))
+    parts = [marked(mark, F.regexp_replace(F.lower(text), "[0-9]", "0"), n) for mark, text in plain for n in sizes]
     return F.concat(*parts)
 
 
