@@ -231,3 +231,33 @@ def test_matching_statistics_of_strange_queries():
             if best:
                 places = {p for p in range(400) if tuple(text[p : p + best]) == tuple(q[i : i + best])}
                 assert set(index.places[lo[i] : hi[i]].tolist()) == places
+
+
+def test_substrings_tell_thue_morse_words_apart(make_docs):
+    """Polynomial hashes modulo 2^64 of these two words are equal whatever the base; the words are not."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    before = " ".join(f"w{i}" for i in range(19))
+    rows = substrings.remove_repeats(make_docs([(1, f"{before} {word}"), (2, f"{before} {other}")])).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in rows) == [(1, 0), (2, 0)]
+    again = substrings.remove_repeats(make_docs([(1, f"{before} {word}"), (2, f"{before}  {word}")])).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in again) == [(1, 0), (2, 20)]
+
+
+def test_word_places(spark):
+    """Words, whatever white space lies around them and in whatever slice of an array they stand."""
+    import pyarrow as pa
+
+    from vitrine.llm.wordhash import Words
+
+    texts = ["x", None, "", " \t\n ", "  a  b\x0b\x0cc ", "\u00e9 \u00a0 b", "a", " a", "a "]
+    for arr in (pa.array(texts), pa.array(["skip me", *texts, "tail"]).slice(1, len(texts))):
+        w = Words(arr)
+        plain = [WORD.findall(t or "") for t in texts]
+        assert w.counts.tolist() == [len(p) for p in plain]
+        flat = [x for p in plain for x in p]
+        data = w.data.tobytes()
+        assert [data[a : z - 1].decode() for a, z in zip(w.starts[:-1], w.starts[1:], strict=True)] == flat
+        h = w.hashes()
+        assert len({(x, int(y)) for x, y in zip(flat, h, strict=True)}) == len(set(flat)) == len(set(h.tolist()))
+        assert w.digests(np.array([1, 0]), np.array([3, 1])) == [hashlib.sha256(s.encode()).digest()[:16] for s in ("a b c", "x")]

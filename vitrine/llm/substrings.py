@@ -4,7 +4,7 @@ A window is ``window`` consecutive words.  Its anchor is the smallest hash of th
 ``anchor`` words long sequences in it, so equal windows have equal anchors; runs of windows
 with one anchor at one place form a segment, and segments are sharded by anchor.  An
 anchor that occurs once proves its windows unrepeated; the others' segments, each
-distinct one once, make up the shards.  In a shard the segments stream backwards
+distinct one once (told apart by 128 bits of sha256 of their words), make up the shards.  In a shard the segments stream backwards
 through the index of them all: matching statistics report the interval of every
 window's occurrences, and the earliest place in it says whether the window starts
 earlier elsewhere.  Later copies of a segment lose all its windows, its first
@@ -28,12 +28,11 @@ from pyspark.sql import functions as F
 
 from vitrine.llm.common import bounded_sample, slices
 from vitrine.llm.fmindex import FMIndex
-from vitrine.llm.wordhash import mix, sequences, sliding_min, words
+from vitrine.llm.wordhash import Words, sequences, sliding_min
 from vitrine.session import reliable_checkpoint
 
 #: Windows of a segment; their verdicts fit the bits of a long.
 _RUN = 63
-_BASE = 0xD6E8FEB86659FD93
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -58,8 +57,8 @@ def common_sequences(docs: DataFrame, length: int, sample_docs: int = 5000, shar
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            hashes, counts = words(b.column(1))
-            seq = sequences(hashes, length)
+            words = Words(b.column(1))
+            seq, counts = sequences(words.hashes(), length), words.counts
             doc = np.repeat(np.arange(len(counts)), counts)
             seq = seq[doc[: len(seq)] == doc[length - 1 :]] if len(seq) else seq
             yield pa.RecordBatch.from_arrays([pa.array((seq >> np.uint64(1)).view(np.int64))], ["h"])
@@ -71,16 +70,18 @@ def common_sequences(docs: DataFrame, length: int, sample_docs: int = 5000, shar
 
 def segment_runs(
     texts: pa.Array, common: np.ndarray, window: int, anchor: int
-) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, windows, anchor, segment hash) of the runs of windows with one anchor at one place.
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """(row, start, windows, anchor, segment) of the runs of windows with one anchor at one place; the
+    segment is a digest of the run's words.
 
     A common anchor is negative and larger than any other while anchors are chosen.
     """
-    hashes, counts = words(texts)
+    words = Words(texts)
+    hashes, counts = words.hashes(), words.counts
     n = len(hashes) - window + 1
     none = np.empty(0, np.int64)
     if n <= 0:
-        return none, none, none, none, none
+        return none, none, none, none, []
     rank = sequences(hashes, anchor) >> np.uint64(1)
     if len(common):
         at = np.minimum(np.searchsorted(common, rank.view(np.int64)), len(common) - 1)
@@ -89,7 +90,7 @@ def segment_runs(
     row = np.repeat(np.arange(len(counts)), counts)
     whole = np.flatnonzero(row[:n] == row[window - 1 :])
     if not len(whole):
-        return none, none, none, none, none
+        return none, none, none, none, []
     least, of = least[whole], row[whole]
     new = np.ones(len(whole), bool)
     new[1:] = (least[1:] != least[:-1]) | (of[1:] != of[:-1])
@@ -101,19 +102,11 @@ def segment_runs(
     first, size = np.repeat(first, parts) + step * _RUN, np.repeat(size, parts)
     size = np.minimum(size - step * _RUN, _RUN)
     begin = whole[first]
-    power = np.full(len(hashes) + 1, _BASE, np.uint64)
-    power[0] = 1
-    np.multiply.accumulate(power, out=power)
-    back = np.full(len(hashes) + 1, pow(_BASE, -1, 1 << 64), np.uint64)
-    back[0] = 1
-    np.multiply.accumulate(back, out=back)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * power[:-1], dtype=np.uint64)])
-    segment = mix((total[begin + size + window - 1] - total[begin]) * back[begin] + size.astype(np.uint64))
     start = begin - (np.cumsum(counts) - counts)[of[first]]
-    return of[first], start, size, least[first].view(np.int64), segment.view(np.int64)
+    return of[first], start, size, least[first].view(np.int64), words.digests(begin, size + window - 1)
 
 
-_RUNS = "key long, start int, n int, anchor long, seg long"
+_RUNS = "key long, start int, n int, anchor long, seg binary"
 
 
 def repeated_runs(docs: DataFrame, common: np.ndarray, window: int, anchor: int) -> DataFrame:
@@ -125,7 +118,7 @@ def repeated_runs(docs: DataFrame, common: np.ndarray, window: int, anchor: int)
         for b in slices(batches):
             row, start, n, chosen, seg = segment_runs(b.column(1), sent.value, window, anchor)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(row)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(chosen), pa.array(seg)],
+                [b.column(0).take(pa.array(row)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(chosen), pa.array(seg, pa.binary())],
                 names,
             )
 
@@ -205,7 +198,7 @@ def remove_repeats(
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["shard", "anchor", "seg", "key", "start", "text"]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string())
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.string())
         for b in slices(batches):
             rows = []
             for key, text, segs in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -235,9 +228,9 @@ def remove_repeats(
     found = (
         docs.join(wanted, "key")
         .select("key", "text", "segs")
-        .mapInArrow(texts, "shard long, anchor long, seg long, key long, start int, text string")
+        .mapInArrow(texts, "shard long, anchor long, seg binary, key long, start int, text string")
         .groupBy("shard")
-        .applyInPandas(searched, "anchor long, seg long, first_key long, first_start int, mask long")
+        .applyInPandas(searched, "anchor long, seg binary, first_key long, first_start int, mask long")
     )
     found = reliable_checkpoint(found, "found")
     is_first = (F.col("key") == F.col("first_key")) & (F.col("start") == F.col("first_start"))

@@ -1,13 +1,15 @@
-"""Hashes of words and word sequences, whole Arrow batches at a time."""
+"""Words of whole Arrow batches at a time: their places, hashes that route them, digests that identify runs of them."""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -17,35 +19,47 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, number of words of every text); a word is a run of bytes outside white space.
+class Words:
+    """The words of an array of texts: runs of bytes outside white space, NULL texts have none.
 
-    Equal words have equal hashes; different ones may share one, so a hash only routes.
+    ``data`` holds all words, each followed by one space; word i lies at ``starts[i]`` up to
+    ``starts[i + 1] - 1``; ``counts`` is the number of words of every text.
     """
-    texts = texts.fill_null("").cast(pa.large_string())
-    _, offsets, data = texts.buffers()
-    at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.empty(0, np.uint8)
-    ends = at - at[0]
-    space = _SPACE[raw]
-    first = ~space
-    first[1:] &= space[:-1]
-    inner = ends[(ends > 0) & (ends < len(raw))]
-    first[inner] = ~space[inner]  # a word ends with its text
-    starts = np.flatnonzero(first)
-    counts = np.diff(np.searchsorted(starts, ends))
-    if not len(starts):
-        return np.empty(0, np.uint64), counts
-    place = np.arange(len(raw)) - np.repeat(starts, np.diff(np.r_[starts, len(raw)])) if starts[0] == 0 else None
-    if place is None:
-        raw, space, starts = raw[starts[0] :], space[starts[0] :], starts - starts[0]
-        place = np.arange(len(raw)) - np.repeat(starts, np.diff(np.r_[starts, len(raw)]))
-    power = np.ones(int(place.max()) + 1, np.uint64)
-    power[1:] = _BASE
-    np.multiply.accumulate(power, out=power)
-    value = (raw.astype(np.uint64) + np.uint64(1)) * power[place]
-    value[space] = 0
-    return mix(np.add.reduceat(value, starts)), counts
+
+    def __init__(self, texts: pa.Array) -> None:
+        texts = texts.fill_null("").cast(pa.large_string())
+        _, offsets, data = texts.buffers()
+        at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.empty(0, np.uint8)
+        ends = at - at[0]
+        # A word ends with its text: a space goes between texts.
+        raw = np.insert(raw, ends[1:], 0x20)
+        ends = ends + np.arange(len(ends))
+        space = _SPACE[raw]
+        first = ~space
+        first[1:] &= space[:-1]
+        kept = ~space
+        kept[1:] |= ~space[:-1]  # of the spaces after a word the first stays
+        place = np.cumsum(kept) - 1
+        data = raw[kept]
+        data[space[kept]] = 0x20
+        starts = np.flatnonzero(first)
+        self.counts = np.diff(np.searchsorted(starts, ends))
+        self.data, self.starts = data, np.append(place[starts], len(data))
+
+    def hashes(self) -> np.ndarray:
+        """A hash of every word; different words may share one, so it only routes."""
+        if len(self.starts) < 2:
+            return np.empty(0, np.uint64)
+        inside = np.arange(len(self.data)) - np.repeat(self.starts[:-1], np.diff(self.starts))
+        # Every byte at every place has a scrambled value of its own; they add up.
+        return mix(np.add.reduceat(mix(inside.astype(np.uint64) * np.uint64(256) + self.data), self.starts[:-1]))
+
+    def digests(self, begin: np.ndarray, size: np.ndarray) -> list[bytes]:
+        """16 bytes of the sha256 of the words ``begin`` up to ``begin + size``: equal for equal word sequences only."""
+        view, sha = memoryview(self.data.tobytes()), hashlib.sha256
+        places = zip(self.starts[begin].tolist(), (self.starts[begin + size] - 1).tolist(), strict=True)
+        return [sha(view[a:z]).digest()[:16] for a, z in places]
 
 
 def sequences(hashes: np.ndarray, length: int) -> np.ndarray:
@@ -55,8 +69,8 @@ def sequences(hashes: np.ndarray, length: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     total = np.zeros(n, np.uint64)
     for i in range(length):
-        total = total * np.uint64(_BASE) + hashes[i : i + n]
-    return mix(total)
+        total = mix(total + hashes[i : i + n] + _GOLDEN)
+    return total
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
