@@ -100,18 +100,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def clear_scratch(spark: SparkSession, since: int = 0) -> int:
-    """Delete the scratch tables written from number ``since`` on; returns how many there are left.
+def scratch_mark() -> int:
+    """Number of scratch tables so far, to clear from."""
+    return len(_SCRATCH)
+
+
+def clear_scratch(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Delete the scratch tables written from number ``since`` on, but the last ``keep``; returns how many there are left.
 
     Call it when their results have been consumed: a long-running session would keep
     a copy for every query otherwise.  ``clear_scratch(spark, len_before)`` after a
     query removes just that query's tables and leaves shared ones.
     """
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _SCRATCH[since:]:
+    end = max(since, len(_SCRATCH) - keep)
+    for path in _SCRATCH[since:end]:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(conf).delete(where, True)
-    del _SCRATCH[since:]
+    del _SCRATCH[since:end]
     return len(_SCRATCH)
 
 
@@ -135,4 +141,16 @@ def reliable_checkpoint(df, name: str = "step"):
     """
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    written = df.sparkSession.read.parquet(path)
+    written._scratch_path = path
+    return written
+
+
+def discard(*tables) -> None:
+    """Delete tables of :func:`reliable_checkpoint` that nothing will read again."""
+    for table in tables:
+        spark = table.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(table._scratch_path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        if table._scratch_path in _SCRATCH:
+            _SCRATCH.remove(table._scratch_path)
