@@ -184,8 +184,8 @@ def test_profile(spark):
     assert info == [(0, "a", "int", 2), (1, "b", "string", 1), (2, "c", "double", 2)]
 
 
-@pytest.mark.parametrize("bins,final_rows", [(4, 5), (4096, 100_000)])
-def test_exact_quantiles_match_numpy(spark, bins, final_rows):
+@pytest.mark.parametrize("sketch_k,final_rows", [(8, 5), (100, 5), (1600, 100_000)])
+def test_exact_quantiles_match_numpy(spark, sketch_k, final_rows):
     from vitrine.operators.quantiles import exact_quantiles
     rng = np.random.default_rng(3)
     a = np.concatenate([rng.normal(0, 1e4, 700), np.full(300, 7.5), [-1e-300, 0.0, 1e300]])
@@ -193,7 +193,7 @@ def test_exact_quantiles_match_numpy(spark, bins, final_rows):
     rows = [("a", float(v)) for v in a] + [("b", float(v)) for v in b] + [("c", None)]
     df = spark.createDataFrame(rows, "g string, v double")
     probs = [0.25, 0.5, 0.75, 0.9]
-    out = {r.g: r for r in exact_quantiles(df, "v", probs, by=["g"], bins=bins,
+    out = {r.g: r for r in exact_quantiles(df, "v", probs, by=["g"], sketch_k=sketch_k,
                                            final_rows=final_rows).collect()}
     assert set(out) == {"a", "b"}
     for g, vals in (("a", a), ("b", b)):

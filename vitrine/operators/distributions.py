@@ -34,30 +34,25 @@ def bin_edges(vmin: float, vmax: float, bins: int, log_bins: bool = False) -> np
     return np.linspace(vmin, vmax, bins + 1)
 
 
-def _bin_index(v: Column, edges: np.ndarray, bins: int, log_bins: bool) -> Column:
-    """Index i with edge[i] <= v < edge[i+1] (last bin closed), from an estimate.
+def _with_bin(data: DataFrame, edges: np.ndarray, log_bins: bool) -> DataFrame:
+    """``data`` (v, within the outer edges) with ``bin``: i with edge[i] <= v < edge[i+1], the last bin closed.
 
-    The estimate comes from the uniform bin width (in log10 space for log
-    bins) and is corrected by one step either way against the exact edges.
+    The estimate comes from the uniform bin width (in log10 space for log bins) and is
+    corrected by steps either way against the exact edges.  Each step is a projection, so no
+    step is computed more than once a row.
     """
-    e = F.array(*[F.lit(float(x)) for x in edges])
-    lo, hi = float(edges[0]), float(edges[-1])
-    if log_bins:
-        llo, lhi = float(np.log10(lo)), float(np.log10(hi))
-        width = lhi - llo
-        est = F.floor((F.log10(v) - F.lit(llo)) * F.lit(bins / width)) if width > 0 else None
-    else:
-        width = hi - lo
-        est = F.floor((v - F.lit(lo)) * F.lit(bins / width)) if width > 0 else None
-    if est is None:
-        return F.lit(bins - 1)
-    i = F.least(F.greatest(est.cast("int"), F.lit(0)), F.lit(bins - 1))
-    i = F.when(v < F.element_at(e, i + 1), i - 1).otherwise(i)
-    i = F.least(F.greatest(i, F.lit(0)), F.lit(bins - 1))
-    i = F.when((i < bins - 1) & (v >= F.element_at(e, i + 2)), i + 1).otherwise(i)
-    # A run of equal edges (constant column) belongs to the last bin with that edge.
-    i = F.when((i < bins - 1) & (v >= F.element_at(e, i + 2)), i + 1).otherwise(i)
-    return i
+    bins, e = len(edges) - 1, F.array(*[F.lit(float(x)) for x in edges])
+    lo, hi = (float(np.log10(x)) if log_bins else float(x) for x in (edges[0], edges[-1]))
+    v, i = F.col("v"), F.col("bin")
+    if not hi > lo:
+        return data.withColumn("bin", F.lit(bins - 1))
+    estimate = F.floor(((F.log10(v) if log_bins else v) - F.lit(lo)) * F.lit(bins / (hi - lo)))
+    data = data.withColumn("bin", F.least(F.greatest(estimate.cast("int"), F.lit(0)), F.lit(bins - 1)))
+    data = data.withColumn("bin", F.greatest(F.when(v < F.element_at(e, i + 1), i - 1).otherwise(i), F.lit(0)))
+    # Twice: a run of equal edges (constant column) belongs to the last bin with that edge.
+    for _ in range(2):
+        data = data.withColumn("bin", F.when((i < bins - 1) & (v >= F.element_at(e, i + 2)), i + 1).otherwise(i))
+    return data
 
 
 def histogram(df: DataFrame, col: str, bins: int = 50, log_bins: bool = False,
@@ -81,12 +76,12 @@ def histogram(df: DataFrame, col: str, bins: int = 50, log_bins: bool = False,
         return spark.createDataFrame([], HIST_SCHEMA)
     edges = bin_edges(float(stats["lo"]), float(stats["hi"]), bins, log_bins)
     lo_edge, hi_edge = float(edges[0]), float(edges[-1])
-    inside = (F.col("v") >= lo_edge) & (F.col("v") <= hi_edge)
-    index = (F.when(F.col("v") == F.lit(float("inf")), F.lit(bins - 1))
-             .when(F.col("v") == F.lit(float("-inf")), F.lit(0))
-             .when(inside, _bin_index(F.col("v"), edges, bins, log_bins)))
-    counted = (data.select(index.alias("bin")).where(F.col("bin").isNotNull())
-               .groupBy("bin").agg(F.count(F.lit(1)).alias("count")))
+    # An infinite value counts in the outer bin, like the edge itself.
+    v = F.col("v")
+    v = (F.when(v == F.lit(float("inf")), F.lit(hi_edge)).when(v == F.lit(float("-inf")), F.lit(lo_edge))
+         .otherwise(v))
+    data = data.select(v.alias("v")).where((F.col("v") >= lo_edge) & (F.col("v") <= hi_edge))
+    counted = _with_bin(data, edges, log_bins).groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
     e = F.array(*[F.lit(float(x)) for x in edges])
     all_bins = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
     left = F.element_at(e, F.col("bin") + 1)
@@ -103,9 +98,12 @@ def _approx_quartiles(v: Column, accuracy: int) -> Column:
 
 def box_summary(df: DataFrame, value: str, by: list[str] | str | None = None,
                 exact: bool = True, accuracy: int = 10000,
-                whisker: float = 1.5) -> DataFrame:
+                whisker: float = 1.5, written: bool = False) -> DataFrame:
     """Quartiles, whiskers and outlier count, overall or per group.
 
+    ``written``: ``df`` already is a written table of just the keys and the value, a
+    number, without missing ones.
+
     Values are coerced and missing ones dropped; rows with a NULL group key
     are dropped.  Whiskers are the most extreme values within
     ``whisker`` x IQR of the box; outliers are the values beyond them.
@@ -113,13 +111,16 @@ def box_summary(df: DataFrame, value: str, by: list[str] | str | None = None,
     upper_whisker, n_outliers.
     """
     keys = [by] if isinstance(by, str) else list(by or [])
-    v = to_number_typed(df, value)
-    data = drop_null_key(df.select(*keys, v.alias("v")), *keys).where(F.col("v").isNotNull())
     # The overall summary is the one-group case of the grouped one.
     gkeys = keys or ["_all"]
-    if not keys:
-        data = data.withColumn("_all", F.lit(0))
-    data = reliable_checkpoint(data, "box-input")  # keys and value, read by every pass below
+    if written:
+        data = df.withColumnRenamed(value, "v")
+    else:
+        v = to_number_typed(df, value)
+        data = drop_null_key(df.select(*keys, v.alias("v")), *keys).where(F.col("v").isNotNull())
+        if not keys:
+            data = data.withColumn("_all", F.lit(0))
+        data = reliable_checkpoint(data, "box-input")  # keys and value, read by every pass below
     if exact:
         q = exact_quantiles(data, "v", [0.25, 0.5, 0.75], by=gkeys, written=True)
         q = q.select(*gkeys, "n", "min", F.col("q0").alias("q1"), F.col("q1").alias("median"),
@@ -193,16 +194,16 @@ def distribution_by_category(df: DataFrame, category: str, value: str, top_n: in
     (with ``bins``: their per-category histograms instead).
 
     Rows with a missing value or category are removed first, then the
-    categories are ranked on the cleaned rows, which are written once.  The at
-    most N winners are cached, so the planner knows their size.
+    categories are ranked on the cleaned rows, which are written once and read with the at
+    most N winners by every later pass.
     """
     v = to_number_typed(df, value)
     clean = (df.select(F.col(category), v.alias(value))
              .where(F.col(value).isNotNull() & F.col(category).isNotNull()))
     clean = reliable_checkpoint(clean, "category-values")
-    top = materialize(top_categories(clean, category, top_n).select(category))
+    top = reliable_checkpoint(top_categories(clean, category, top_n).select(category), "top")
     kept = clean.join(top, on=category, how="left_semi")
     if bins:
         # The density shape of each kept category (A12 per group).
         return grouped_histogram(kept, value, category, bins)
-    return box_summary(kept, value, by=category, exact=exact)
+    return box_summary(kept, value, by=category, exact=exact, written=True)
