@@ -42,9 +42,14 @@ ODD = [
 ]
 
 
+#: Names that operators and stages use for columns of their own.
+CLASH = ["size", "source_size", "copies", "copy", "target", "target_source", "whole", "part", "norm", "name", "row", "fp", "score", "row_id", "kept",
+         "quality_score", "quality_kept", "predicted", "best", "key", "piece"]
+
+
 @pytest.fixture()
 def odd(make_docs):
-    return make_docs(ODD, extra=["size", "copies", "target", "norm", "name", "row", "fp", "score", "row_id", "kept"])
+    return make_docs(ODD, extra=CLASH)
 
 
 @pytest.fixture()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,11 @@ SPACES = " \t\n\x0b\x0c\r"
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def fields(model: object) -> tuple:
+    """A dataclass's values, to broadcast: plain data, which workers read without importing this package."""
+    return tuple(getattr(model, f.name) for f in dataclasses.fields(model))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

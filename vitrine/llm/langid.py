@@ -10,27 +10,33 @@ likelihood is the sum of its words', and a word is scored once per worker.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from array import array
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import bounded_sample, fold, slices
+from vitrine.llm.common import bounded_sample, fields, fold, slices
+from vitrine.session import reliable_checkpoint
 
 _LETTERS = re.compile(r"[^\W\d_]+")
-#: Longer runs of letters are scored in parts of this many characters.
-_WORD_CHARS = 32
+#: Words up to this long are summed as they are; longer ones would underflow and are summed as logarithms.
+_PLAIN_CHARS = 32
+#: Characters of the words whose lattices are held at once.
+_BATCH_CHARS = 200_000
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-cased runs of letters, cut into parts of at most 32 characters."""
+    """Lower-cased runs of letters, whole; number signs such as a half or a Roman two are none."""
     found = _LETTERS.findall(text.lower())
-    if max(map(len, found), default=0) <= _WORD_CHARS:
+    if all(map(str.isalpha, found)):
         return found
-    return [w[i : i + _WORD_CHARS] for w in found for i in range(0, len(w), _WORD_CHARS)]
+    return [part for w in found for part in "".join(c if c.isalpha() else " " for c in w).split()]
 
 
 def load_pieces(vocabulary: str) -> dict[str, int]:
@@ -60,29 +66,34 @@ class Lattice:
 
 def lattice(words: list[str], pieces: dict[str, int], unknown: int = 0) -> Lattice:
     """All pieces inside each word; a character that is no piece is an edge of the unknown id."""
-    longest = 16
-    out: list[tuple[int, int, int, int]] = []
+    longest = max(map(len, pieces), default=1)
+    out = array("q")
     length = np.empty(len(words), np.int64)
     get = pieces.get
     for k, word in enumerate(words):
         marked = "▁" + word
         n = length[k] = len(marked)
         for i in range(n):
-            out.append((k, i, i + 1, get(marked[i], unknown)))
+            out.extend((k, i, i + 1, get(marked[i], unknown)))
             for j in range(i + 2, min(n, i + longest) + 1):
                 if (p := get(marked[i:j])) is not None:
-                    out.append((k, i, j, p))
-    edges = np.array(out, np.int64).reshape(-1, 4)
+                    out.extend((k, i, j, p))
+    edges = np.frombuffer(out, np.int64).reshape(-1, 4) if len(out) else np.empty((0, 4), np.int64)
     return Lattice(len(words), length, *edges.T)
 
 
 def _sweep(lat: Lattice, prob: np.ndarray, backward: bool = False) -> np.ndarray:
-    """Sums over segmentations of every prefix (or suffix): words x positions x languages."""
+    """Log of the sums over segmentations of every prefix (or suffix): words x positions x languages.
+
+    Short words are summed as they are, batches with longer ones as logarithms: the same sums.
+    """
     width = int(lat.length.max(initial=0)) + 1
-    sums = np.zeros((lat.words, width, prob.shape[1]))
+    logs = width > _PLAIN_CHARS + 2
+    sums = np.full((lat.words, width, prob.shape[1]), -np.inf if logs else 0.0)
+    edge = np.log(prob) if logs else prob
     into, out_of = (lat.start, lat.end) if backward else (lat.end, lat.start)
     rows = np.arange(lat.words)
-    sums[rows, lat.length if backward else 0] = 1.0
+    sums[rows, lat.length if backward else 0] = 0.0 if logs else 1.0
     order = np.lexsort((lat.word, into))
     bounds = np.searchsorted(into[order], np.arange(width + 1))
     positions = range(width - 2, -1, -1) if backward else range(1, width)
@@ -92,17 +103,38 @@ def _sweep(lat: Lattice, prob: np.ndarray, backward: bool = False) -> np.ndarray
             continue
         w = lat.word[e]
         first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
-        sums[w[first], at] += np.add.reduceat(sums[w, out_of[e]] * prob[lat.piece[e]], first, axis=0)
-    return sums
+        if logs:
+            sums[w[first], at] = np.logaddexp.reduceat(sums[w, out_of[e]] + edge[lat.piece[e]], first, axis=0)
+        else:
+            sums[w[first], at] += np.add.reduceat(sums[w, out_of[e]] * edge[lat.piece[e]], first, axis=0)
+    if logs:
+        return sums
+    with np.errstate(divide="ignore"):  # places after a word's end
+        return np.log(sums)
+
+
+def _batches(words: list[str]) -> Iterator[list[int]]:
+    """Places of the words in batches of like lengths: at most ``_BATCH_CHARS`` cells, at least one word."""
+    order = sorted(range(len(words)), key=lambda i: len(words[i]))
+    at = 0
+    while at < len(order):
+        stop = at + 1
+        plain = len(words[order[at]]) <= _PLAIN_CHARS
+        while stop < len(order):
+            size = len(words[order[stop]])
+            if (size + 2) * (stop + 1 - at) > _BATCH_CHARS or (size <= _PLAIN_CHARS) != plain:
+                break
+            stop += 1
+        yield order[at:stop]
+        at = stop
 
 
 def log_likelihood(words: list[str], pieces: dict[str, int], prob: np.ndarray) -> np.ndarray:
     """words x languages: log of the sum over all segmentations."""
     out = np.empty((len(words), prob.shape[1]), np.float64)
-    for at in range(0, len(words), 20_000):
-        lat = lattice(words[at : at + 20_000], pieces)
-        forward = _sweep(lat, prob)
-        out[at : at + lat.words] = np.log(forward[np.arange(lat.words), lat.length])
+    for places in _batches(words):
+        lat = lattice([words[i] for i in places], pieces)
+        out[places] = _sweep(lat, prob)[np.arange(lat.words), lat.length]
     return out
 
 
@@ -114,47 +146,72 @@ class Model:
     vocabulary: str
 
 
-def fit(counts: list[tuple[str, str, int]], vocabulary: str, rounds: int = 4, smooth: float = 0.1) -> Model:
-    """(language, word, n) -> piece probabilities by expectation-maximisation over all segmentations."""
-    pieces = load_pieces(vocabulary)
-    size = max(pieces.values()) + 1
-    languages = sorted({lang for lang, _, _ in counts})
-    column = {lang: i for i, lang in enumerate(languages)}
-    words = sorted({w for _, w, _ in counts})
-    row = {w: i for i, w in enumerate(words)}
-    n = np.zeros((len(words), len(languages)))
-    for lang, w, k in counts:
-        n[row[w], column[lang]] += k
-    prob = np.full((size, len(languages)), 1.0 / size)
-    parts = [(at, lattice(words[at : at + 20_000], pieces)) for at in range(0, len(words), 20_000)]
-    for _ in range(rounds):
-        expected = np.full_like(prob, smooth)
-        for at, lat in parts:
-            forward, backward = _sweep(lat, prob), _sweep(lat, prob, backward=True)
-            total = forward[np.arange(lat.words), lat.length]
-            share = n[at : at + lat.words] / total
-            seen = forward[lat.word, lat.start] * prob[lat.piece] * backward[lat.word, lat.end] * share[lat.word]
-            for c in range(len(languages)):
-                expected[:, c] += np.bincount(lat.piece, seen[:, c], size)
-        prob = expected / expected.sum(axis=0)
-    mass = n.sum(axis=0)
-    return Model(languages, prob, np.log(mass / mass.sum()) if len(languages) else mass, vocabulary)
+def expected(words: list[str], n: np.ndarray, pieces: dict[str, int], prob: np.ndarray) -> np.ndarray:
+    """Expected uses of every piece (piece x language) in ``words``, which occur ``n`` (words x languages) times,
+    over all segmentations."""
+    out = np.zeros_like(prob)
+    for places in _batches(words):
+        lat = lattice([words[i] for i in places], pieces)
+        forward, backward = _sweep(lat, prob), _sweep(lat, prob, backward=True)
+        total = forward[np.arange(lat.words), lat.length]
+        seen = forward[lat.word, lat.start] + np.log(prob)[lat.piece] + backward[lat.word, lat.end] - total[lat.word]
+        seen = np.exp(seen) * n[places][lat.word]
+        for c in range(prob.shape[1]):
+            out[:, c] += np.bincount(lat.piece, seen[:, c], len(prob))
+    return out
 
 
 def train(
-    docs: DataFrame, sample_docs: int = 2000, vocabulary: str = "piece_bpe_32k.model", rounds: int = 4
+    docs: DataFrame, sample_docs: int = 2000, vocabulary: str = "piece_bpe_32k.model", rounds: int = 4, smooth: float = 0.1
 ) -> Model:
-    """Fit on word counts of about ``sample_docs`` rows of ``docs`` (doc_id, text, lang) with a language and a text."""
+    """Fit on word counts of at most ``sample_docs`` distinct rows of ``docs`` (doc_id, text, lang) with a language and a text.
+
+    The counts stay distributed: a round of expectation-maximisation sends the probabilities out and
+    gets back sums per piece and language, so the driver holds the vocabulary, no text.
+    """
     sample = bounded_sample(docs.select("doc_id", "text", "lang").where("lang is not null and text is not null"), sample_docs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            pairs = [(lang, w) for text, lang in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True) for w in words_of(text)]
+            pairs = Counter((lang, w) for text, lang in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True) for w in words_of(text))
             cols = list(zip(*pairs, strict=True)) or [(), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["lang", "word"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols), pa.array(pairs.values(), pa.int64())], ["lang", "word", "n"])
+
+    counts = sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return fit(reliable_checkpoint(counts, "word-counts"), vocabulary, rounds, smooth)
 
-    counts = sample.mapInArrow(count, "lang string, word string").groupBy("lang", "word").count()
-    return fit([tuple(r) for r in counts.collect()], vocabulary, rounds)
+
+def fit(counts: DataFrame, vocabulary: str, rounds: int = 4, smooth: float = 0.1) -> Model:
+    """(lang, word, n) -> piece probabilities by expectation-maximisation over all segmentations."""
+    size = max(load_pieces(vocabulary).values()) + 1
+    mass = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    languages = sorted(mass)
+    prob = np.full((size, len(languages)), 1.0 / size)
+    spread = F.pmod(F.xxhash64("word"), F.lit(counts.sparkSession.sparkContext.defaultParallelism))
+
+    def piece_sums(sent: Broadcast) -> Callable[[pa.Table], pa.Table]:
+        def sums(part: pa.Table) -> pa.Table:
+            words, code = np.unique(part["word"].to_numpy(), return_inverse=True)
+            column = {lang: i for i, lang in enumerate(languages)}
+            n = np.zeros((len(words), len(languages)))
+            np.add.at(n, (code, [column[x] for x in part["lang"].to_pylist()]), part["n"].to_numpy())
+            uses = expected(words.tolist(), n, load_pieces(vocabulary), sent.value)
+            piece, lang = np.nonzero(uses)
+            return pa.table({"piece": pa.array(piece, pa.int64()), "lang": pa.array(lang, pa.int64()), "uses": pa.array(uses[piece, lang])})
+
+        return sums
+
+    for _ in range(rounds if languages else 0):
+        sent = counts.sparkSession.sparkContext.broadcast(prob)  # pieces x languages
+        found = counts.groupBy(spread).applyInArrow(piece_sums(sent), "piece long, lang long, uses double")
+        found = found.groupBy("piece", "lang").agg(F.sum("uses").alias("uses"))
+        found = found.toArrow()
+        uses = np.full_like(prob, smooth)
+        uses[found["piece"].to_numpy(), found["lang"].to_numpy()] += found["uses"].to_numpy()
+        prob = uses / uses.sum(axis=0)
+        sent.unpersist()
+    share = np.array([mass[x] for x in languages], float)
+    return Model(languages, prob, np.log(share / share.sum()) if languages else share, vocabulary)
 
 
 class Scorer:
@@ -207,10 +264,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     NULL texts and texts without a letter are ``und`` with score 0, as is everything
     when nothing was learned.  Repeated rows are scored each.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # pieces x languages: bounded by the vocabulary
+    sent = docs.sparkSession.sparkContext.broadcast(fields(model))  # pieces x languages: bounded by the vocabulary
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(sent.value)
+        scorer = Scorer(Model(*sent.value))
         for b in slices(batches, limit=2_000_000):
             pred, score = scorer.score(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(

@@ -2,8 +2,9 @@
 
 Tokens (words) are summed per source, the sums give each source a target and a
 repetition rate, and every document is emitted ``floor(rate)`` times plus one
-hash-seeded Bernoulli copy with probability equal to the fraction.  Everything
-is a DataFrame expression.  The only shuffle of rows is the partial aggregation
+hash-seeded Bernoulli copy with probability equal to the fraction.  Several seeds are
+summed per source in one aggregation, and each source takes the one that comes
+closest to its target.  Everything is a DataFrame expression.  The only shuffle of rows is the partial aggregation
 per source; the per-source table is written and joined by whatever strategy its
 true size allows, so a source holding a third of all rows is never gathered.
 """
@@ -64,9 +65,9 @@ def source_targets(
     )
 
 
-def bernoulli_draw(doc_id: str, seed: str) -> Column:
-    """A number in [0, 1) from the md5 of seed and id: reruns and any partitioning agree."""
-    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
+def bernoulli_draw(doc_id: str, seed: str, attempt: Column) -> Column:
+    """A number in [0, 1) from the md5 of seed, attempt and id: reruns and any partitioning agree."""
+    digest = F.md5(F.concat(F.lit(seed + ":"), attempt.cast("string"), F.lit(":"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
@@ -76,28 +77,36 @@ def mix(
     share: float = 1.5,
     max_rate: float = 2.0,
     seed: str = "mix",
+    attempts: int = 16,
 ) -> DataFrame:
-    """``docs`` (doc_id, text, source, ...) with size, source_size, target and copies added.
+    """One row per row of ``docs`` (doc_id, text, source, ...): doc_id, size, source_size, target, copies, and ``row``, the
+    whole row as a struct, whatever its columns are called.
 
+    Of ``attempts`` draws each source takes the one whose words come closest to its target.
     NULL text has size 0, a NULL source is a source of its own, a source without
-    words has target 0 and rate 0.  Rows that repeat a doc_id draw alike.  Columns
-    of ``docs`` named like an added one are replaced; an empty table stays empty.
+    words has target 0 and rate 0.  Rows that repeat a doc_id draw alike.  An empty
+    table stays empty.
     """
-    added = ("size", "source_size", "target", "copies")
-    sized = docs.drop(*added).withColumn("size", word_count())
-    targets = reliable_checkpoint(source_targets(sized.select("source", "size"), weights, share, max_rate), "targets")
-    targets = targets.withColumnRenamed("source", "target_source")
+    sized = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.col("source").alias("source"), word_count().alias("size"))
+    sizes = reliable_checkpoint(sized.select("doc_id", "source", "size"), "sizes")
+    targets = reliable_checkpoint(source_targets(sizes, weights, share, max_rate), "targets").withColumnRenamed("source", "target_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    return (
-        sized.join(targets, F.col("source").eqNullSafe(F.col("target_source")))
-        .drop("target_source")
-        .withColumn(
-            "copies",
-            F.floor(rate) + F.when(bernoulli_draw("doc_id", seed) < rate - F.floor(rate), 1).otherwise(0),
-        )
+    same = F.col("source").eqNullSafe(F.col("target_source"))
+    targets = targets.withColumn("whole", F.floor(rate)).withColumn("part", rate - F.col("whole"))
+
+    def one_more(attempt: Column) -> Column:
+        return F.when(bernoulli_draw("doc_id", seed, attempt) < F.col("part"), 1).otherwise(0)
+
+    sums = [F.sum(F.col("size") * (F.col("whole") + one_more(F.lit(k)))).alias(f"taken_{k}") for k in range(attempts)]
+    taken = sizes.join(targets, same).groupBy("target_source", "source_size", "target", "whole", "part").agg(*sums)
+    off = F.array_min(F.array(*[F.struct(F.abs(F.col(f"taken_{k}") - F.col("target")).alias("off"), F.lit(k).alias("k")) for k in range(attempts)]))
+    best = taken.select("target_source", "source_size", "target", "whole", "part", off["k"].alias("attempt"))
+    best = reliable_checkpoint(best, "attempts")  # one row a source
+    return sized.join(best, same).select(
+        "doc_id", "row", "size", "source_size", "target", (F.col("whole") + one_more(F.col("attempt"))).alias("copies")
     )
 
 
 def emit(mixed: DataFrame) -> DataFrame:
-    """Repeat each row of :func:`mix` ``copies`` times; rows with none are left out of the mix."""
-    return mixed.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).drop("copy")
+    """The rows of :func:`mix`, each ``copies`` times, with the columns they came with; rows with none are left out of the mix."""
+    return mixed.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("row.*")

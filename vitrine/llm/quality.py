@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitrine.llm.common import bounded_sample, slices
+from vitrine.llm.common import bounded_sample, fields, slices
 
 _BITS = 16
 LABELLERS = (
@@ -246,23 +246,29 @@ def train(docs: DataFrame, sample_docs: int = 5000) -> Model:
     return Model(weight, bias, accuracy, prior)
 
 
+def _probabilities(texts: pa.Array, model: Model, shapes: Shapes) -> np.ndarray:
+    p = np.zeros(len(texts))
+    for k, text in enumerate(texts.to_pylist()):
+        codes, stats = describe(text or "", shapes)
+        if stats[7]:
+            index, value = hashed(codes, stats)
+            p[k] = 1 / (1 + np.exp(-float(np.clip(model.weight[index] @ value + model.bias, -500, 500))))
+    return p
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, text) -> the columns of ``docs`` with quality_score (probability of good) and quality_kept (0 or 1).
 
     NULL, empty and blank texts are not kept, with score 0.  Every row is scored from
-    its whole text; columns of ``docs`` named like an added one are replaced.
+    its whole text; columns of ``docs`` named like an added one are replaced.  An empty
+    table gives an empty result.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # 2^16 weights
+    sent = docs.sparkSession.sparkContext.broadcast(fields(model))  # 2^16 weights
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shapes, m = Shapes(), sent.value
+        shapes, m = Shapes(), Model(*sent.value)
         for b in slices(batches):
-            p = np.zeros(b.num_rows)
-            for k, text in enumerate(b.column(b.schema.get_field_index("text")).to_pylist()):
-                codes, stats = describe(text or "", shapes)
-                if stats[7]:
-                    index, value = hashed(codes, stats)
-                    p[k] = 1 / (1 + np.exp(-float(np.clip(m.weight[index] @ value + m.bias, -500, 500))))
+            p = _probabilities(b.column(b.schema.get_field_index("text")), m, shapes)
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))],
                 [*b.schema.names, "quality_score", "quality_kept"],
@@ -273,6 +279,19 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(of, T.StructType([*docs.schema.fields, *added]))
 
 
+def keep_good(docs: DataFrame, **training) -> DataFrame:
+    """The rows of ``docs`` that a model trained on ``docs`` itself keeps, with all their columns as they are."""
+    sent = docs.sparkSession.sparkContext.broadcast(fields(train(docs, **training)))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shapes, m = Shapes(), Model(*sent.value)
+        for b in slices(batches):
+            p = _probabilities(b.column(b.schema.get_field_index("text")), m, shapes)
+            yield b.filter(pa.array(p >= 0.5))
+
+    return docs.mapInArrow(of, docs.schema)
+
+
 def classify(docs: DataFrame, **training) -> DataFrame:
     """Train on ``docs`` without labels and score every row of it."""
     return score(docs, train(docs, **training))

@@ -117,14 +117,20 @@ WITH d AS (
          ELSE first_value(CASE WHEN water < level THEN water END IGNORE NULLS) OVER
               (ORDER BY level, rk ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) * weight END AS target
   FROM f
+), u AS (
+  SELECT *, floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END) AS whole,
+    CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END - whole AS part FROM t
 ), x AS (
-  SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate,
-    (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT)::DOUBLE / 4503599627370496.0 AS u
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+  SELECT d.doc_id, d.size, u.*, k, whole + CASE WHEN
+      (('0x' || substr(md5('mix:' || k || ':' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT)::DOUBLE / 4503599627370496.0 < part
+    THEN 1 ELSE 0 END AS copies
+  FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source, range(16) r(k)
+), b AS (
+  SELECT source, k FROM x GROUP BY source, k, target
+  QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(sum(size * copies)::BIGINT - target), k) = 1
 )
-SELECT doc_id, size, source_size, target,
-  (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM x
+SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken
+FROM x JOIN b ON x.source IS NOT DISTINCT FROM b.source AND x.k = b.k
 """
 
 _OP7_SQL = r"""

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import bounded_sample, fold, slices
+from vitrine.llm.common import bounded_sample, fields, fold, slices
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _BITS = 18
@@ -302,10 +302,10 @@ def score(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
     Every row and the whole text; NULL and wordless texts get the score of a text in
     which nothing is toxic.  Repeated rows are scored each.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # 2^18 weights
+    sent = docs.sparkSession.sparkContext.broadcast(fields(model))  # 2^18 weights
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(sent.value)
+        scorer = Scorer(Model(*sent.value))
         for b in slices(batches):
             p, found = scorer.score(b.column(1).to_pylist(), spans)
             listed = pa.array([[{"start": s, "end": e} for s, e in f] for f in found], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
