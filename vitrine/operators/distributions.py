@@ -21,9 +21,12 @@ from pyspark.sql import functions as F
 from vitrine.functions.parse import to_number_typed
 from vitrine.operators.aggregates import top_categories
 from vitrine.operators.predicates import drop_null_key, positive_only
-from vitrine.operators.quantiles import exact_quantiles
+from vitrine.operators.quantiles import column_quantiles, exact_quantiles
 from vitrine.session import materialize, reliable_checkpoint
 
+_QUARTILES = [0.25, 0.5, 0.75]
+BOX_SCHEMA = ("n BIGINT, min DOUBLE, q1 DOUBLE, median DOUBLE, q3 DOUBLE, max DOUBLE, "
+              "lower_whisker DOUBLE, upper_whisker DOUBLE, n_outliers BIGINT")
 HIST_SCHEMA = "bin INT, bin_left DOUBLE, bin_right DOUBLE, bin_center DOUBLE, count BIGINT"
 
 
@@ -34,6 +37,10 @@ def bin_edges(vmin: float, vmax: float, bins: int, log_bins: bool = False) -> np
     return np.linspace(vmin, vmax, bins + 1)
 
 
+def _double_array(values: np.ndarray) -> Column:
+    return F.expr(f"array({', '.join(f'{float(x)!r}D' for x in values)})")
+
+
 def _with_bin(data: DataFrame, edges: np.ndarray, log_bins: bool) -> DataFrame:
     """``data`` (v, within the outer edges) with ``bin``: i with edge[i] <= v < edge[i+1], the last bin closed.
 
@@ -41,7 +48,7 @@ def _with_bin(data: DataFrame, edges: np.ndarray, log_bins: bool) -> DataFrame:
     corrected by steps either way against the exact edges.  Each step is a projection, so no
     step is computed more than once a row.
     """
-    bins, e = len(edges) - 1, F.array(*[F.lit(float(x)) for x in edges])
+    bins, e = len(edges) - 1, _double_array(edges)
     lo, hi = (float(np.log10(x)) if log_bins else float(x) for x in (edges[0], edges[-1]))
     v, i = F.col("v"), F.col("bin")
     if not hi > lo:
@@ -82,7 +89,7 @@ def histogram(df: DataFrame, col: str, bins: int = 50, log_bins: bool = False,
          .otherwise(v))
     data = data.select(v.alias("v")).where((F.col("v") >= lo_edge) & (F.col("v") <= hi_edge))
     counted = _with_bin(data, edges, log_bins).groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
-    e = F.array(*[F.lit(float(x)) for x in edges])
+    e = _double_array(edges)
     all_bins = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
     left = F.element_at(e, F.col("bin") + 1)
     right = F.element_at(e, F.col("bin") + 2)
@@ -111,42 +118,54 @@ def box_summary(df: DataFrame, value: str, by: list[str] | str | None = None,
     upper_whisker, n_outliers.
     """
     keys = [by] if isinstance(by, str) else list(by or [])
-    # The overall summary is the one-group case of the grouped one.
-    gkeys = keys or ["_all"]
     if written:
         data = df.withColumnRenamed(value, "v")
     else:
         v = to_number_typed(df, value)
         data = drop_null_key(df.select(*keys, v.alias("v")), *keys).where(F.col("v").isNotNull())
-        if not keys:
-            data = data.withColumn("_all", F.lit(0))
         data = reliable_checkpoint(data, "box-input")  # keys and value, read by every pass below
+    v = F.col("v")
+    if exact and not keys:
+        (q,) = column_quantiles(data, ["v"], _QUARTILES)
+        if not q["n"]:
+            return df.sparkSession.createDataFrame([], BOX_SCHEMA)
+        q1, median, q3 = q["q"]
+        ends = [F.lit(x).cast("double").alias(name) for name, x in
+                (("min", q["min"]), ("q1", q1), ("median", median), ("q3", q3), ("max", q["max"]))]
+        fenced = data.select("v", F.lit(q1).alias("q1"), F.lit(q3).alias("q3"))
+        return _fences(fenced, [], whisker).select(F.lit(q["n"]).cast("long").alias("n"), *ends,
+                                                   "lower_whisker", "upper_whisker", "n_outliers")
+    # The overall summary is the one-group case of the grouped one.
+    gkeys = keys or ["_all"]
+    if not keys:
+        data = data.withColumn("_all", F.lit(0))
     if exact:
-        q = exact_quantiles(data, "v", [0.25, 0.5, 0.75], by=gkeys, written=True)
+        q = exact_quantiles(data, "v", _QUARTILES, by=gkeys, written=True)
         q = q.select(*gkeys, "n", "min", F.col("q0").alias("q1"), F.col("q1").alias("median"),
                      F.col("q2").alias("q3"), "max")
     else:
         q = data.groupBy(*gkeys).agg(
             F.count(F.lit(1)).alias("n"), F.min("v").alias("min"), F.max("v").alias("max"),
-            _approx_quartiles(F.col("v"), accuracy).alias("_q"))
+            _approx_quartiles(v, accuracy).alias("_q"))
         q = q.select(*gkeys, "n", "min", F.col("_q")[0].alias("q1"),
                      F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"), "max")
     # Written, so the planner knows its size and broadcasts it when small: the rows stay in place.
     q = reliable_checkpoint(q, "quartiles")
-    fenced = data.join(q.select(*gkeys, "q1", "q3"), on=gkeys, how="inner")
-    iqr = F.col("q3") - F.col("q1")
-    lo_f = F.col("q1") - F.lit(whisker) * iqr
-    hi_f = F.col("q3") + F.lit(whisker) * iqr
-    vcol = F.col("v")
-    w = fenced.groupBy(*gkeys).agg(
-        F.min(F.when(vcol >= lo_f, vcol)).alias("lower_whisker"),
-        F.max(F.when(vcol <= hi_f, vcol)).alias("upper_whisker"),
-        F.count(F.when((vcol < lo_f) | (vcol > hi_f), F.lit(1))).alias("n_outliers"))
-    out = q.join(w, on=gkeys, how="inner")
+    out = q.join(_fences(data.join(q.select(*gkeys, "q1", "q3"), on=gkeys), gkeys, whisker), on=gkeys)
     return out.select(*keys, "n", "min", "q1", "median", "q3", "max",
                       "lower_whisker", "upper_whisker", "n_outliers")
 
 
+def _fences(rows: DataFrame, keys: list[str], whisker: float) -> DataFrame:
+    """keys, v, q1, q3 -> per group the whiskers and the number of values beyond them."""
+    iqr = F.col("q3") - F.col("q1")
+    v, lo, hi = F.col("v"), F.col("q1") - F.lit(whisker) * iqr, F.col("q3") + F.lit(whisker) * iqr
+    return rows.groupBy(*keys).agg(
+        F.min(F.when(v >= lo, v)).alias("lower_whisker"),
+        F.max(F.when(v <= hi, v)).alias("upper_whisker"),
+        F.count(F.when((v < lo) | (v > hi), F.lit(1))).alias("n_outliers"))
+
+
 def grouped_histogram(df: DataFrame, col: str, by: str, bins: int = 50) -> DataFrame:
     """A12 per group: equal-width bins between each group's own min and max.
 

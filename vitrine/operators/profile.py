@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitrine.operators.quantiles import exact_quantiles
+from vitrine.operators.quantiles import column_quantiles
 from vitrine.session import reliable_checkpoint
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
@@ -42,10 +42,9 @@ def describe(df: DataFrame, columns: list[str] | None = None, exact: bool = True
              accuracy: int = 10000) -> DataFrame:
     """Count, mean, sample std, min, quartiles (linear), max per numeric column.
 
-    Missing values (and NaN) are skipped.  Moments and exact quartiles come
-    from one written copy of the values; quartiles from one bounded-state selection over
-    the columns unpivoted to (column_name, value), grouped by column
-    (``exact=False``: ``percentile_approx``).  Output: one row per column.
+    Missing values (and NaN) are skipped.  The values are written once; one pass over all
+    columns gives the moments and a sketch of each, and the counts that prove the quartiles
+    take two more (``exact=False``: ``percentile_approx``).  Output: one row per column.
     """
     cols = columns or numeric_columns(df)
 
@@ -53,27 +52,21 @@ def describe(df: DataFrame, columns: list[str] | None = None, exact: bool = True
         v = F.col(f"`{c}`").cast("double")
         return F.when(~F.isnan(v), v)
 
-    # One read of the source: the values by column, written, then aggregated and ranked from there.
-    long = reliable_checkpoint(
-        df.select(*[val(c).alias(c) for c in cols]).unpivot([], cols, "column_name", "v"), "describe")
-    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column_name string")
-    moments = long.groupBy("column_name").agg(
-        F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
-        F.min("v").alias("min"), F.max("v").alias("max"))
-    moments = names.join(moments, "column_name", "left").withColumn(
-        "count", F.coalesce("count", F.lit(0)).cast("bigint"))
+    schema = "column_name string, count long, mean double, std double, min double, q25 double, q50 double, q75 double, max double"
     probs = [0.25, 0.5, 0.75]
+    wide = reliable_checkpoint(df.select(*[val(c).alias(c) for c in cols]), "describe")
+    moments = ["avg({c})", "stddev_samp({c})"]
     if exact:
-        q = exact_quantiles(long, "v", probs, by=["column_name"], written=True)
-        q = q.select("column_name", F.col("q0").alias("q25"), F.col("q1").alias("q50"),
-                     F.col("q2").alias("q75"))
+        rows = column_quantiles(wide, cols, probs, moments)
     else:
-        a = F.percentile_approx("v", probs, accuracy).cast("array<double>")
-        q = (long.groupBy("column_name").agg(a.alias("_q"))
-             .select("column_name", F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("q50"),
-                     F.col("_q")[2].alias("q75")))
-    out = moments.join(q, on="column_name", how="left")
-    return out.select("column_name", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
+        pa = f"CAST(percentile_approx({{c}}, array(0.25, 0.5, 0.75), {int(accuracy)}) AS ARRAY<DOUBLE>)"
+        each = [F.expr(f"struct(count({c}) AS n, min({c}) AS min, max({c}) AS max, {pa.format(c=c)} AS q, "
+                       f"array({', '.join(m.format(c=c) for m in moments)}) AS more)").alias(f"c{i}")
+                for i, c in enumerate(f"`{x}`" for x in cols)]
+        rows = [r.asDict() for r in wide.agg(*each).first()]
+    return df.sparkSession.createDataFrame(
+        [(c, r["n"], r["more"][0], r["more"][1], r["min"], *(r["q"] or [None] * 3), r["max"])
+         for c, r in zip(cols, rows, strict=True)], schema)
 
 
 def column_info(df: DataFrame) -> DataFrame:
