@@ -87,9 +87,9 @@ def test_stratified_edges(spark):
 
 
 def test_stratified_shortfall_redraw(spark):
-    # oversample 0 and slack 0 force the pre-filter to come up short
+    # a quota of nearly all of its stratum
     df = spark.range(2000).withColumn("g", (F.col("id") % 3).cast("string"))
-    s = X.stratified_sample(df, "g", 90, ["id"], oversample=0.0, slack=1)
+    s = X.stratified_sample(df, "g", 90, ["id"])
     assert {r.g: r["count"] for r in s.groupBy("g").count().collect()} == \
         {"0": 30, "1": 30, "2": 30}
 
@@ -99,11 +99,29 @@ def test_uniform_sample(spark):
     s = X.uniform_sample(df, 10, ["id"])
     assert s.count() == 10
     assert X.uniform_sample(df, 1000, ["id"]).count() == 100
-    # a pre-filter that comes up short is widened; the draw does not change
-    narrow = X.uniform_sample(df.repartition(3), 10, ["id"], oversample=0.0, slack=0)
+    narrow = X.uniform_sample(df.repartition(3), 10, ["id"])
     assert sorted(r.id for r in narrow.collect()) == sorted(r.id for r in s.collect())
 
 
+def test_samples_are_the_smallest_ranks(spark):
+    """The rows with the smallest md5 ranks, of all rows or of each stratum, also with equal keys."""
+    import hashlib
+    ids = list(range(300)) + [7] * 40
+    df = spark.createDataFrame([(i, f"g{i % 4}" if i % 9 else None, n) for n, i in enumerate(ids)], "id long, g string, n long")
+    rank = lambda r: (hashlib.md5(f"1|{r.id}".encode()).hexdigest(), r.id, r.g, r.n)
+    rows = sorted(df.collect(), key=lambda r: rank(r)[0])
+    for n in (1, 30, 41, 339, 340, 400):
+        got = X.uniform_sample(df, n, ["id"]).collect()
+        assert len(got) == min(n, 340)
+        assert {r.id for r in got} == {r.id for r in rows[:n]}
+    for n in (10, 100):
+        got = X.stratified_sample(df, "g", n, ["id"]).collect()
+        for g in {r.g for r in rows} - {None}:
+            mine = [r.id for r in got if r.g == g]
+            assert sorted(mine) == sorted(r.id for r in [r for r in rows if r.g == g][: len(mine)])
+    assert X.stratified_sample(df, "g", 340, ["id"], keep_small=True).count() == 340
+
+
 def test_keep_first(spark):
     a = spark.createDataFrame([(1, "a1", 0, 0), (2, "a2", 0, 1), (None, "an", 0, 2)],
                               "k int, v string, pr int, pos int")

@@ -16,7 +16,7 @@ from vitrine.operators import distributions
 from vitrine.operators.aggregates import OWNERS
 from vitrine.operators.predicates import compare, drop_missing, in_categories, selection_list
 from vitrine.operators.predicates import hide_zero as drop_zero
-from vitrine.operators.sampling import stratified_sample, stratum_sizes, uniform_sample
+from vitrine.operators.sampling import stratified_sample, uniform_sample
 
 MAX_POINTS = 20_000  # cap on points per scatter (fixed value)
 PLAYTIME_COLUMNS = (  # columns whose per-category histogram is a distribution summary
@@ -41,21 +41,10 @@ def _with_year_label(df: DataFrame) -> DataFrame:
 
 def _cap(df: DataFrame, max_points: int, category: str, keys: list[str], seed: int,
          stratify: bool = True) -> DataFrame:
-    """Sample only when there are more than ``max_points`` rows.
-
-    With strata, the per-stratum sizes (one pass, NULL stratum included)
-    give the row count and are reused for the quotas.
-    """
+    """Sample only when there are more than ``max_points`` rows; the NULL stratum counts as rows."""
     if stratify and category in df.columns:
-        sizes = stratum_sizes(df, category)
-        total = sizes.agg(F.sum("_size")).first()[0] or 0
-        if total <= max_points:
-            return df
-        return stratified_sample(df, category, max_points, keys, seed, sizes=sizes)
-    total = df.count()
-    if total <= max_points:
-        return df
-    return uniform_sample(df, max_points, keys, seed, total=total)
+        return stratified_sample(df, category, max_points, keys, seed, keep_small=True)
+    return uniform_sample(df, max_points, keys, seed)
 
 
 def scatter_points(df: DataFrame, x: str, y: str, keys: list[str], hide_zero: bool = False,

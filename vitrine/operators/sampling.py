@@ -8,13 +8,13 @@ contract is exact per-stratum counts and repeatability.)
 
 Stratified plan:
 
-1. per-stratum sizes (partial aggregation), cached: one row per stratum;
+1. one pass over keys and strata counts rows by stratum and size of rank, in eight
+   bins for each halving (at most 417 rows per stratum): this gives the sizes;
 2. quotas: floor of the proportional share, the remainder to the largest
    fractional parts (a top-r with r < n, ties by stratum), capped at size;
-3. a pre-filter keeps rows whose rank falls below
-   ``(1.2 * quota + 64) / size`` of the hash range, so each stratum's window
-   sees about 1.2 x quota rows however large the stratum is; a stratum that
-   comes up short is re-drawn with a 4x larger fraction (rare);
+3. running sums over the same counts give each stratum the smallest bin bound that
+   leaves its quota, so its window sees about 1.09 x quota rows however large the
+   stratum is, and never too few;
 4. ``row_number`` by rank within the stratum, kept while <= quota.
 """
 
@@ -26,7 +26,8 @@ from pyspark.sql import types as T
 
 from vitrine.session import materialize, reliable_checkpoint
 
-_HEX_DIGITS = 13  # 52 bits of the md5 give the uniform pre-filter value
+_HEX_DIGITS = 13  # 52 bits of the md5 give the size of a rank
+_BINS_PER_HALVING = 8
 
 
 def rank_key(keys: list[str], seed: int = 1) -> Column:
@@ -49,37 +50,39 @@ def _order_columns(df: DataFrame) -> list[Column]:
     return cols
 
 
-def _unit(rank: Column) -> Column:
-    """Uniform value in [0, 1), monotone in the rank text."""
+def _bin(rank: Column) -> Column:
+    """How small the rank is: 0 for the largest, eight steps for each halving, at most 416."""
     head = F.conv(F.substring(rank, 1, _HEX_DIGITS), 16, 10).cast("double")
-    return head / F.lit(float(16 ** _HEX_DIGITS))
+    steps = F.floor((F.lit(4.0 * _HEX_DIGITS) - F.log2(head)) * F.lit(float(_BINS_PER_HALVING)))
+    return F.when(head > 0, steps).otherwise(F.lit(4 * _HEX_DIGITS * _BINS_PER_HALVING)).cast("int")
+
+
+def _ranked(df: DataFrame, keys: list[str], seed: int) -> DataFrame:
+    return df.withColumn("_rk", rank_key(keys, seed)).withColumn("_bin", _bin(F.col("_rk")))
 
 
 def uniform_sample(df: DataFrame, n: int, keys: list[str], seed: int = 1,
-                   total: int | None = None, oversample: float = 1.2,
-                   slack: int = 64) -> DataFrame:
+                   total: int | None = None) -> DataFrame:
     """Exactly ``min(rows, n)`` rows: those with the n smallest ranks.
 
     A plain ``orderBy(rank).limit(n)`` would merge every partition's top n in
-    one task (partitions x n rows).  Instead rows whose rank falls below
-    ``(1.2 n + 64) / rows`` of the hash range are kept first (about 1.2 n
-    rows, written), widened 4x if that comes up short, and the top n is
-    taken from those.  ``total`` (the row count) may be passed to save a pass.
+    one task (partitions x n rows).  Instead one pass over the keys counts rows by
+    size of rank, which gives the smallest bin bound that leaves n rows (about
+    1.09 n at most); the top n is taken from the rows within it.  ``total`` (the row
+    count), if known, saves that pass for small tables.
     """
-    if n <= 0:
+    if n <= 0 or (total is not None and total <= n):
         return df
-    cols = df.columns
-    total = df.count() if total is None else total
-    if total <= n:
-        return df
-    ranked = df.withColumn("_rk", rank_key(keys, seed)).withColumn("_u", _unit(F.col("_rk")))
-    frac = min(1.0, (n * oversample + slack) / total)
-    while True:
-        cand = reliable_checkpoint(ranked.where(F.col("_u") < F.lit(frac)), "sample")
-        if frac >= 1.0 or cand.count() >= n:
+    ranked = _ranked(df, keys, seed)
+    got = 0
+    for least, rows in sorted(map(tuple, ranked.groupBy("_bin").count().collect()), reverse=True):
+        got += rows
+        if got >= n:
             break
-        frac = min(1.0, max(frac, 1.0 / total) * 4.0)
-    return cand.orderBy(*_order_columns(df)).limit(int(n)).select(*cols)
+    if got <= n:
+        return df if got < n else ranked.where(F.col("_bin") >= least).select(*df.columns)
+    return (ranked.where(F.col("_bin") >= least).orderBy(*_order_columns(df)).limit(int(n))
+            .select(*df.columns))
 
 
 def stratum_sizes(df: DataFrame, by: str) -> DataFrame:
@@ -120,39 +123,32 @@ def stratum_quotas(df: DataFrame, by: str, n: int,
 
 
 def stratified_sample(df: DataFrame, by: str, n: int, keys: list[str], seed: int = 1,
-                      oversample: float = 1.2, slack: int = 64,
-                      sizes: DataFrame | None = None) -> DataFrame:
+                      keep_small: bool = False) -> DataFrame:
     """Proportional stratified sample of n rows with exact quotas.
 
-    n <= 0 -> input unchanged; ``by`` missing or no non-NULL stratum -> X1.
+    n <= 0 -> input unchanged, so is an input of at most n rows with ``keep_small`` (else its
+    NULL stratum goes); ``by`` missing or no non-NULL stratum -> X1.
     """
     if n <= 0:
         return df
     if by not in df.columns:
         return uniform_sample(df, n, keys, seed)
-    quotas = stratum_quotas(df, by, n, sizes)
+    # Rows by stratum and size of rank: sizes, quotas and bounds all come from this small table.
+    ranked = _ranked(df, keys, seed)
+    counts = reliable_checkpoint(ranked.groupBy(by, "_bin").agg(F.count(F.lit(1)).alias("_c")), "rank-sizes")
+    if keep_small and (counts.agg(F.sum("_c")).first()[0] or 0) <= n:
+        return df
+    quotas = stratum_quotas(df, by, n, counts.groupBy(by).agg(F.sum("_c").alias("_size")))
     if quotas is None:
         return uniform_sample(df, n, keys, seed)
-    cols = df.columns
-    rk = rank_key(keys, seed)
-    # Quotas: one row per stratum; AQE broadcasts it when small.
-    ranked = (df.join(quotas, on=by, how="inner")
-              .withColumn("_rk", rk).withColumn("_u", _unit(F.col("_rk"))))
-    frac = F.least(F.lit(1.0), (F.col("_quota") * oversample + slack) / F.col("_size"))
-    cand = reliable_checkpoint(ranked.where(F.col("_u") < frac), "sample")
-    factor = 1.0
-    while True:
-        short = (cand.groupBy(by).agg(F.count(F.lit(1)).alias("_got"))
-                 .join(quotas, on=by, how="right")
-                 .where(F.coalesce(F.col("_got"), F.lit(0)) < F.col("_quota"))
-                 .select(by).collect())
-        if not short:
-            break
-        factor *= 4.0
-        short_keys = [r[0] for r in short]
-        wider = F.least(F.lit(1.0), frac * factor)
-        redo = ranked.where(F.col(by).isin(short_keys) & (F.col("_u") < wider))
-        cand = reliable_checkpoint(cand.where(~F.col(by).isin(short_keys)).unionByName(redo), "sample")
+    smaller = (Window.partitionBy(by).orderBy(F.col("_bin").desc())
+               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    bounds = (counts.withColumn("_upto", F.sum("_c").over(smaller)).join(quotas, by)
+              .where(F.col("_upto") >= F.col("_quota"))
+              .groupBy(by).agg(F.max("_bin").alias("_least"), F.max("_quota").alias("_quota")))
+    # One row per stratum, written: AQE broadcasts it when small.
+    bounds = reliable_checkpoint(bounds, "rank-bounds")
     w = Window.partitionBy(by).orderBy(*_order_columns(df))
-    return (cand.withColumn("_n", F.row_number().over(w))
-            .where(F.col("_n") <= F.col("_quota")).select(*cols))
+    return (ranked.join(bounds, by).where(F.col("_bin") >= F.col("_least"))
+            .withColumn("_n", F.row_number().over(w))
+            .where(F.col("_n") <= F.col("_quota")).select(*df.columns))
