@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitrine.session import scratch_path
+
 
 def union_all(first: DataFrame, second: DataFrame) -> DataFrame:
     """Union by column name, duplicates kept."""
@@ -59,3 +63,34 @@ def merge_snapshots(newer: DataFrame, older: DataFrame, key: str, columns: list[
     b = conform(older, columns + helper, rename_older, constants_older)
     merged = keep_first(union_all(a, b), key, helper)
     return merged.drop(*helper)
+
+
+def save_snapshot(rows: DataFrame, key: str, buckets: int = 64, path: str | None = None) -> str:
+    """Write rows with one row per key as a table bucketed and sorted by the key; returns its name.
+
+    The name is a temporary one of the session's catalogue; the files lie in ``path`` (default: the
+    shared scratch folder).  Rows that already lie in a bucketed table go to their
+    buckets without a shuffle.
+    """
+    name = f"snapshot_{uuid.uuid4().hex}"
+    (rows.write.bucketBy(buckets, key).sortBy(key).option("path", path or scratch_path(rows.sparkSession, name))
+     .saveAsTable(name))
+    return name
+
+
+def merge_into_snapshot(spark: SparkSession, newer: DataFrame, older: str, key: str,
+                        order_by: list[str]) -> DataFrame:
+    """M1 step by step: ``older`` (a table of :func:`save_snapshot`) with the keys that ``newer`` lacks, and
+    ``newer`` with the first row per key.
+
+    Only the newer rows are shuffled, into the older table's buckets; the older rows are
+    read where they lie.  All NULL keys are one key, as in :func:`keep_first`.
+    """
+    old = spark.table(older)
+    first = keep_first(newer, key, order_by).select(*old.columns)
+    # The NULL key equals no other in a join; whether the newer rows have it is one bounded question.
+    lost_null = bool(newer.where(F.col(key).isNull()).take(1))
+    stay = old.where(F.col(key).isNotNull()).join(first.select(key), key, "left_anti")
+    if not lost_null:
+        stay = stay.unionByName(old.where(F.col(key).isNull()))
+    return first.unionByName(stay)

@@ -61,7 +61,7 @@ def _ends(pairs: int, sketch_k: int) -> list[str]:
     It reaches beyond the sketch's rank by several times the error that such a sketch exceeds in
     one case of a hundred (0.75 % of the group against 0.2 % for 1600).
     """
-    reach = 12.0 / sketch_k
+    reach = min(12.0 / sketch_k, 0.1)  # a small sketch errs more, but must still narrow
     return [e for t in range(pairs) for e in (
         f"_grid[CAST(greatest(floor((_ks[{2 * t}] / _n - {reach}D) * {GRID}), 0) AS INT)] AS _lo{t}",
         f"_grid[CAST(least(ceil(((_ks[{2 * t + 1}] + 1) / _n + {reach}D) * {GRID}), {GRID}) AS INT)] AS _hi{t}")]
@@ -179,7 +179,7 @@ def column_quantiles(data: DataFrame, columns: list[str], probs: list[float], mo
     grids = data.agg(*[F.expr(f"kll_sketch_agg_double({c}, {sketch_k}) AS s{i}") for i, c in enumerate(name) if first[f"n{i}"]] or [F.lit(0)])
     grids = grids.selectExpr("0 AS _", *[f"kll_sketch_get_quantile_double(s{i}, array({_RANKS})) AS grid{i}"
                                          for i in range(len(name)) if first[f"n{i}"]]).first()
-    reach = 12.0 / sketch_k
+    reach = min(12.0 / sketch_k, 0.1)  # a small sketch errs more, but must still narrow
     out, want = [], []
     for i in range(len(columns)):
         n = first[f"n{i}"]

@@ -18,6 +18,7 @@ from vitrine.operators import aggregates as A
 from vitrine.operators import distributions as D
 from vitrine.operators import merge as M
 from vitrine.operators import points as Q
+from vitrine.operators import predicates as PD
 from vitrine.operators import profile as PR
 from vitrine.operators import sampling as X
 from vitrine.operators import series as R
@@ -26,7 +27,7 @@ from vitrine.plans.fixtures import table, titles_raw_table, with_titles, written
 from vitrine.session import scratch_path
 from vitrine.sources import csv as CSV
 from vitrine.sources import export as EXP
-from vitrine.sources.ingest import ingest_catalogue
+from vitrine.sources.ingest import ingest_catalogue, metrics_table, write_clustered
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -279,6 +280,46 @@ def totalprice_yearly_series(spark, sf):
     return _round_doubles(s)
 
 
+_HOLES = """
+oy AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS o_year,
+              CASE WHEN o_orderpriority = '5-LOW' AND year(o_orderdate) = 1996 THEN NULL
+                   ELSE o_orderpriority END AS o_orderpriority,
+              CASE WHEN o_orderpriority = '1-URGENT' AND year(o_orderdate) = 1997 THEN NULL
+                   ELSE o_totalprice END AS o_totalprice FROM orders)
+"""
+
+
+def _orders_with_holes(spark, sf):
+    """Orders by year; the low priority is not known in 1996, urgent prices are not known in 1997."""
+    o, prio, y = _orders_y(spark, sf), F.col("o_orderpriority"), F.col("o_year")
+    return o.select("o_orderdate", "o_year",
+                    F.when(~((prio == "5-LOW") & (y == 1996)), prio).alias("o_orderpriority"),
+                    F.when(~((prio == "1-URGENT") & (y == 1997)), F.col("o_totalprice")).alias("o_totalprice"))
+
+
+@register("orders_yearly_series_with_hole", _SERIES_SQL.replace(
+    "oy AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS o_year, o_orderpriority FROM orders)", _HOLES.strip()))
+def orders_yearly_series_with_hole(spark, sf):
+    """A category without rows inside a year that has others is a hole (NULL), not 0."""
+    o = _orders_with_holes(spark, sf)
+    top = [r[0] for r in A.top_categories(o, "o_orderpriority", 6).collect()]
+    counts = A.counts_per_year(o, "o_year", "o_orderpriority", selected=top,
+                               year_min=1994, year_max=2003, date_col="o_orderdate")
+    return R.yearly_series(counts, "o_year", "o_orderpriority", "count", 1994, 2003,
+                           requested=top, variant="count")
+
+
+@register("totalprice_per_year_without_values", f"""
+WITH {_HOLES.strip()}
+SELECT o_year, o_orderpriority, round(coalesce(sum(o_totalprice), 0), 4) AS total
+FROM oy WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '9-NONE') GROUP BY 1, 2
+""")
+def totalprice_per_year_without_values(spark, sf):
+    """A4: a group whose values are all missing sums to 0."""
+    return _round_doubles(A.sum_per_year(_orders_with_holes(spark, sf), "o_year", "o_orderpriority", "o_totalprice",
+                                         selected=["1-URGENT", "2-HIGH", "9-NONE"], out="total"))
+
+
 @register("titles_yearly_series", with_titles("""
 , req AS (SELECT * FROM (VALUES ('ECONOMY', 1), ('LARGE', 2), ('PROMO', 3), ('SMALL', 4))
           t(main_genre, pos)),
@@ -339,6 +380,19 @@ def mean_discount_by_brand_nulls_last(spark, sf):
                                              drop_missing_means=False))
 
 
+@register("mean_price_by_priority_nulls_last", """
+SELECT o_orderpriority, round(avg(CASE WHEN o_orderpriority <> '3-MEDIUM' THEN o_totalprice END), 4) AS o_totalprice
+FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY o_orderpriority
+ORDER BY avg(CASE WHEN o_orderpriority <> '3-MEDIUM' THEN o_totalprice END) DESC NULLS LAST, o_orderpriority LIMIT 15
+""")
+def mean_price_by_priority_nulls_last(spark, sf):
+    """A5: a category without any value keeps its missing mean, after all others."""
+    o = table(spark, sf, "orders").select("o_orderpriority", F.when(
+        F.col("o_orderpriority") != "3-MEDIUM", F.col("o_totalprice")).alias("o_totalprice"))
+    return _round_doubles(A.mean_by_category(o, "o_orderpriority", "o_totalprice", 15,
+                                             drop_missing_means=False))
+
+
 @register("mean_quantity_by_brand_top15", f"""
 SELECT p_brand, round(avg(l_quantity), 4) AS l_quantity
 FROM {_LP} WHERE p_brand IS NOT NULL GROUP BY p_brand
@@ -421,6 +475,19 @@ def titles_top_tags(spark, sf):
     return TG.top_tags(titles_raw_table(spark, sf), 10, "tags")
 
 
+@register("part_tags_of_like_keys", """
+WITH w AS (SELECT split_part(p_name, ' ', 1) AS w1, split_part(p_name, ' ', 2) AS w2 FROM part),
+tg AS (SELECT w1 AS tag FROM w UNION ALL SELECT w1 FROM w UNION ALL SELECT w2 FROM w)
+SELECT tag, count(*) AS count FROM tg GROUP BY tag ORDER BY count(*) DESC, tag LIMIT 10
+""")
+def part_tags_of_like_keys(spark, sf):
+    """A10: keys of a dict cell that clean to one tag count each; equal keys are one key."""
+    w = F.split("p_name", " ")
+    w1, w2 = F.element_at(w, 1), F.element_at(w, 2)
+    cell = F.concat(F.lit("{'"), w1, F.lit("': 5, ' "), w1, F.lit("!': 4, '"), w2, F.lit("#': 3, '"), w2, F.lit("#': 2}"))
+    return TG.top_tags(table(spark, sf, "part").select(cell.alias("tags")), 10, "tags")
+
+
 @register("titles_dataset_card", with_titles(_TAG_COUNTS + """
 , top AS (SELECT tag, count FROM tc ORDER BY count DESC, tag LIMIT 5)
 SELECT (SELECT count(*) FROM titles_raw) AS n_rows, 'tags' AS tags_column,
@@ -698,6 +765,42 @@ def ingest_titles(spark, sf):
                                    "average_playtime_forever", "peak_ccu"))
 
 
+_CLUSTERED: dict[tuple[str, str], tuple] = {}
+
+
+def _clustered(spark, sf):
+    """(path, metrics) of the typed catalogue written in clusters, once per application."""
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _CLUSTERED:
+        path = scratch_path(spark, "clustered")
+        _CLUSTERED[at] = (path, write_clustered(ingest_catalogue(titles_raw_table(spark, sf)), path))
+    return _CLUSTERED[at]
+
+
+@register("ingest_clustered_filter", with_titles("""
+SELECT appid, main_genre, release_year, round(price, 4) AS price FROM titles_truth
+WHERE main_genre IN ('ECONOMY', 'PROMO') AND release_year >= 1993 AND release_year <= 1995
+"""))
+def ingest_clustered_filter(spark, sf):
+    """S5 + F2 + F3: the clustered table read with a year window and two categories."""
+    t = spark.read.parquet(_clustered(spark, sf)[0])
+    t = PD.in_categories(PD.year_between(t, "release_year", 1993, 1995), "main_genre", ["ECONOMY", "PROMO"])
+    return _round_doubles(t.select("appid", "main_genre", "release_year", "price"))
+
+
+@register("ingest_metrics", with_titles(
+    ", u AS (" + "\nUNION ALL\n".join(
+        f"SELECT '{c}' AS column_name, count(CASE WHEN {cond} THEN NULL ELSE 1 END) AS non_null, "
+        f"avg(CASE WHEN {cond} THEN 1.0 ELSE 0.0 END) AS s FROM titles_truth t JOIN titles_raw r USING (appid)"
+        for c, cond in _MISSING_COLS)
+    + """)
+SELECT column_name, non_null, round(s, 4) AS missing_share FROM u
+"""))
+def ingest_metrics(spark, sf):
+    """A19, A21, A23 of the typed catalogue, observed while it is written."""
+    return _round_doubles(metrics_table(titles(spark, sf), _clustered(spark, sf)[1]))
+
+
 @register("titles_genre_list", with_titles("""
 SELECT appid, tuple_or_list_first AS genre_list FROM titles_truth
 WHERE tuple_or_list_first IS NOT NULL
@@ -853,6 +956,24 @@ def merged_snapshot_csv(spark, sf):
                        "genres", "estimated_owners", "release_date")
 
 
+@register("customer_merge_into_snapshot", """
+WITH a AS (SELECT c_custkey, c_name, c_acctbal, c_mktsegment, 0 AS pr FROM customer
+           WHERE c_acctbal < 5000 OR c_acctbal IS NULL),
+b AS (SELECT c_custkey, c_name, c_acctbal + 1 AS c_acctbal, c_mktsegment, 1 AS pr FROM customer
+      WHERE c_acctbal >= 2000),
+u AS (SELECT * FROM a UNION ALL SELECT * FROM b),
+k AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY pr) AS rn FROM u)
+SELECT c_custkey, c_name, round(c_acctbal, 4) AS c_acctbal, c_mktsegment FROM k WHERE rn = 1
+""")
+def customer_merge_into_snapshot(spark, sf):
+    """M1 + U2: a newer slice of customers merged into an older one that lies in buckets."""
+    c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    older = c.where(F.col("c_acctbal") >= 2000).withColumn("c_acctbal", F.col("c_acctbal") + 1)
+    newer = c.where((F.col("c_acctbal") < 5000) | F.col("c_acctbal").isNull())
+    name = M.save_snapshot(M.keep_first(older, "c_custkey", ["c_name"]), "c_custkey", buckets=8)
+    return _round_doubles(M.merge_into_snapshot(spark, newer, name, "c_custkey", ["c_name"]))
+
+
 @register("customer_keep_first", """
 WITH a AS (SELECT c_custkey, c_name, c_acctbal, c_mktsegment, 0 AS pr FROM customer
            WHERE c_acctbal < 5000 OR c_acctbal IS NULL),
