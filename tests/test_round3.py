@@ -130,3 +130,48 @@ def test_box_of_nothing_and_of_one(spark):
     assert D.box_summary(df, "v").collect() == []
     one = D.box_summary(spark.createDataFrame([(2.5,)], "v double"), "v").first()
     assert one.n == 1 and one["min"] == one.median == one["max"] == one.lower_whisker == 2.5 and one.n_outliers == 0
+
+
+# ---------------------------------------------------------------- cells and key sketches
+
+
+def test_series_of_cells_reads_its_source_once(spark, tmp_path):
+    from vitrine.operators import aggregates as A
+    from vitrine.operators import series as R
+    rows = [(2000 + i % 4, "abc"[i % 3], float(i)) for i in range(60) if not (i % 4 == 1 and i % 3 == 2)] + [(None, "a", 1.0), (2001, None, 1.0)]
+    df = spark.createDataFrame(rows, "y int, c string, v double")
+    cells = R.year_cells(df, "y", "c", "v")
+    top = [r[0] for r in A.top_categories(df, "c", 2).collect()]
+    assert R.cell_categories(cells, "c", 2) == top
+    for value, old in (("count", A.counts_per_year(df, "y", "c", selected=top)), ("sum", A.sum_per_year(df, "y", "c", "v", selected=top))):
+        want = R.yearly_series(old, "y", "c", value, 1999, 2004, requested=top, variant=value)
+        got = R.series_of_cells(cells, "y", "c", value, 1999, 2004, default_k=2)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    holes = R.series_of_cells(cells, "y", "c", "count", 1999, 2004, requested=["c"]).where("y = 2001").first()
+    assert holes["count"] == 0  # no other requested category has that year
+    assert [r["count"] for r in R.series_of_cells(cells, "y", "c", "count", 1999, 2004, requested=["c", "a"]).where("y = 2001 AND c = 'c'").collect()] == [None]
+
+
+def test_key_sketches_merge_across_snapshots(spark):
+    """Within 2 % of the exact number, for one table and for the union of overlapping ones."""
+    from vitrine.operators import aggregates as A
+    a, b = spark.range(0, 60_000), spark.range(40_000, 100_000)
+    both = A.key_sketch(a, "id").unionByName(A.key_sketch(b, "id"))
+    got = A.distinct_of_sketches(both).first()
+    assert got.n_rows == 120_000 and abs(got.n_distinct - 100_000) < 2_000
+    near = A.shape_and_distinct(a, "id", exact=False).first()
+    assert near.n_rows == 60_000 and abs(near.n_distinct - 60_000) < 1_200
+    assert A.shape_and_distinct(a, "id").first().n_distinct == 60_000
+    assert tuple(A.distinct_of_sketches(both.limit(0)).first()) == (0, 0)
+
+
+def test_bindings_reach_the_rules_they_name(spark):
+    """The fixture rows of the registered queries hold a hole, an empty sum, a missing mean and like keys."""
+    from vitrine.plans import catalog
+    sf = "/root/testdata/sf0.001"
+    series = catalog.QUERIES["orders_yearly_series_with_hole"](spark, sf).collect()
+    assert {r.o_year for r in series if r["count"] is None} == {1996}
+    totals = catalog.QUERIES["totalprice_per_year_without_values"](spark, sf).collect()
+    assert [(r.o_year, r.o_orderpriority) for r in totals if r.total == 0] == [(1997, "1-URGENT")]
+    means = catalog.QUERIES["mean_price_by_priority_nulls_last"](spark, sf).collect()
+    assert means[-1].o_totalprice is None and None not in [r.o_totalprice for r in means[:-1]]

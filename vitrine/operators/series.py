@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.session import materialize
+from vitrine.session import materialize, reliable_checkpoint
 
 
 def pivot_wide(df: DataFrame, index: str, category: str, value: str,
@@ -107,3 +107,34 @@ def yearly_series(counts_long: DataFrame, year: str, category: str, value: str,
     return densify_years(counts_long, year, category, value, year_min, year_max, requested,
                          if_none_requested_present="all" if variant == "count" else "none",
                          gap=gap)
+
+
+def year_cells(df: DataFrame, year: str, category: str, value: str | None = None) -> DataFrame:
+    """One pass over ``df``: count (and sum of ``value``, 0 without any) of every (year, category), NULLs included, written.
+
+    Years x categories rows, from which the default selection, the year bounds and the
+    series follow without reading ``df`` again.
+    """
+    aggs = [F.count(F.lit(1)).alias("count")]
+    if value is not None:
+        aggs.append(F.coalesce(F.sum(F.col(value).cast("double")), F.lit(0.0)).alias("sum"))
+    return reliable_checkpoint(df.groupBy(year, category).agg(*aggs), "year-cells")
+
+
+def cell_categories(cells: DataFrame, category: str, k: int) -> list[str]:
+    """A11 from cells: the k categories with most rows, ties by name."""
+    totals = cells.where(F.col(category).isNotNull()).groupBy(category).agg(F.sum("count").alias("count"))
+    return [r[0] for r in totals.orderBy(F.col("count").desc(), F.col(category).asc()).limit(int(k)).collect()]
+
+
+def series_of_cells(cells: DataFrame, year: str, category: str, value: str = "count", year_min=None,
+                    year_max=None, requested=None, default_k: int = 6, gap: str = "reference") -> DataFrame:
+    """R1-R4 from cells: the dense series of ``requested`` (default: the k largest categories) within the years."""
+    chosen = list(requested) if requested else cell_categories(cells, category, default_k)
+    known = cells.where(F.col(year).isNotNull() & F.col(category).isin(chosen))
+    if year_min is not None:
+        known = known.where(F.col(year) >= int(year_min))
+    if year_max is not None:
+        known = known.where(F.col(year) <= int(year_max))
+    return yearly_series(known.select(year, category, value), year, category, value, year_min, year_max,
+                         requested=chosen, variant="count" if value == "count" else "sum", gap=gap)
