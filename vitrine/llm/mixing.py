@@ -79,7 +79,7 @@ def mix(
     seed: str = "mix",
     attempts: int = 16,
 ) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text, source, ...): doc_id, size, source_size, target, copies, and ``row``, the
+    """One row per row of ``docs`` (doc_id, text, source, ...): doc_id, source, size, source_size, target, copies, and ``row``, the
     whole row as a struct, whatever its columns are called.
 
     Of ``attempts`` draws each source takes the one whose words come closest to its target.
@@ -103,7 +103,7 @@ def mix(
     best = taken.select("target_source", "source_size", "target", "whole", "part", off["k"].alias("attempt"))
     best = reliable_checkpoint(best, "attempts")  # one row a source
     return sized.join(best, same).select(
-        "doc_id", "row", "size", "source_size", "target", (F.col("whole") + one_more(F.col("attempt"))).alias("copies")
+        "doc_id", "source", "row", "size", "source_size", "target", (F.col("whole") + one_more(F.col("attempt"))).alias("copies")
     )
 
 
