@@ -193,7 +193,7 @@ def test_quality_against_labels_it_never_sees(spark):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     rows = queries()["op1_quality"](spark, "/root/testdata/sf0.1").join(labels, "doc_id").collect()
     good, bad = [r for r in rows if r.quality], [r for r in rows if not r.quality]
-    assert np.mean([r.predicted for r in good]) > 0.995
+    assert np.mean([r.predicted for r in good]) > 0.995 and np.mean([r.predicted for r in bad]) < 0.1
 
 
 def test_label_model_learns_who_is_right():
