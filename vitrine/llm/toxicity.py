@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.llm.common import bounded_sample, fields, fold, slices
+from vitrine.session import reliable_checkpoint
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _BITS = 18
@@ -288,7 +289,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 6000) -> Model:
     Where doc_ids repeat, at most about twice as many distinct rows go to the driver.
     """
     marks = bounded_sample(labels.select("doc_id", "toxic").where("doc_id is not null and toxic is not null"), sample_docs)
-    rows = docs.select("doc_id", "text").join(marks.distinct(), "doc_id")
+    # Written, at most sample_docs rows: the planner sees that it is small and leaves the texts in place.
+    rows = docs.select("doc_id", "text").join(reliable_checkpoint(marks, "marks"), "doc_id")
     rows = rows.select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text"))
     found = _bounded_rows(rows, 2 * sample_docs).toArrow().sort_by(
         [("doc_id", "ascending"), ("toxic", "ascending"), ("text", "ascending")]
